@@ -10,6 +10,7 @@ from .distinct_runs import ALL, build_runs, count_ranges, counts_by
 from .ledger import judge_in_batches
 from .pair_table import pair_table
 from .sampling import uniform_sample
+from .set_join import similar_classes, similar_pairs
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -38,6 +39,28 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     return written(build_runs(table(spark, d, "yelp_user"), "user_id", "arrived_at", ["client_app", "home_city"]), "runs")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    p = similar_pairs(table(spark, d, "yelp_train"), "business_id", "user_id", 1, 2, least=5)
+    return p.select(F.col("id_1").alias("business_id_1"), F.col("id_2").alias("business_id_2"))
+
+
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Per business with at least 5 users: how many other businesses its user set is similar to (copies included)."""
+    members, pairs = similar_classes(table(spark, d, "yelp_train"), "business_id", "user_id", 1, 2, least=5)
+    size = members.groupBy("c").agg(F.count("*").alias("k"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = both.join(size.withColumnRenamed("c", "b"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("k").alias("links"))
+    return members.join(size, "c").join(links, "c", "left").select(F.col("id").alias("business_id"), F.col("n").alias("n_users"), (F.coalesce("links", F.lit(0)) + F.col("k") - 1).alias("n_links"))
+
+
+_P3 = f"""
+WITH s AS (SELECT DISTINCT trim(user_id, {_BLANK}) u, trim(business_id, {_BLANK}) b FROM yelp_train WHERE trim(user_id, {_BLANK}) <> '' AND trim(business_id, {_BLANK}) <> ''),
+n AS (SELECT b, count(*) n FROM s GROUP BY 1 HAVING count(*) >= 5), t AS (SELECT s.b, s.u, n.n FROM s JOIN n USING (b)),
+p AS (SELECT x.b AS b1, y.b AS b2, any_value(x.n) AS n1, any_value(y.n) AS n2, count(*) AS m FROM t x JOIN t y ON x.u = y.u AND x.b < y.b GROUP BY 1, 2),
+f AS (SELECT b1, b2 FROM p WHERE 2 * m >= n1 + n2 - m)
+"""
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "task2").where("estimation is not null")
     asked = lines.select(
@@ -84,10 +107,12 @@ def p7_sample(spark: SparkSession, d: str) -> DataFrame:
     return uniform_sample(table(spark, d, "yelp_user").select("arrival_no", "piece_no", "user_id"), 100, ["arrival_no"], "s1")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_counts, p5_found, p5_error, p7_sample)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_links, p4_found, p4_counts, p5_found, p5_error, p7_sample)}
 ORACLES = {
     "p1_found": _P1 + "SELECT b1 AS business_id_1, b2 AS business_id_2 FROM q WHERE m >= 12 AND m * nn >= 4 * n1 * n2",
     "p1_pairs": _P1 + "SELECT b1 AS business_id_1, b2 AS business_id_2, m, n1, n2, round(CAST(m AS DOUBLE) * nn / (CAST(n1 AS DOUBLE) * n2), 6) AS lift FROM q WHERE m >= 2",
+    "p3_found": _P3 + "SELECT b1 AS business_id_1, b2 AS business_id_2 FROM f",
+    "p3_links": _P3 + "SELECT n.b AS business_id, n.n AS n_users, count(o) AS n_links FROM n LEFT JOIN (SELECT b1 AS i, b2 AS o FROM f UNION ALL SELECT b2, b1 FROM f) ON i = n.b GROUP BY 1, 2",
     "p4_found": _P4 + """, e AS (SELECT time_no, any_value(estimation) AS e, count(DISTINCT k) AS n FROM task2 LEFT JOIN u ON day BETWEEN CAST(day_from AS DATE) AND CAST(day_to AS DATE)
         AND (task2.client_app IS NULL OR task2.client_app = u.client_app) AND (task2.home_city IS NULL OR task2.home_city = u.home_city) WHERE estimation IS NOT NULL GROUP BY 1)
         SELECT time_no FROM e WHERE abs(e - n) > 0.2 * n""",

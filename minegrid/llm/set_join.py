@@ -3,7 +3,7 @@
 Records (sets of 64-bit hashed members, equal sets folded into one class) are assigned to cells around pivots:
 
 1. Pivots come from the records themselves. Rounds of sampling with growing rates pick pivots; a record within
-   ``RADIUS`` = half the distance limit of a sampled pivot joins the cell of its nearest one and leaves the
+   half the distance limit of a sampled pivot joins the cell of its nearest one and leaves the
    pool, so dense regions are covered by few pivots. What no pivot covers becomes a pivot with a cell of its own.
 2. A record z must meet cell q (radius r_q, the largest distance of its members) only if d(z, q) <= limit + r_q: by the
    triangle inequality no member of q can otherwise be near enough. Those cells get a replica of z. A pair is met in
@@ -19,7 +19,7 @@ members is intersected chunk by chunk. Nothing is capped or sampled away; sampli
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..util import clean_key, written
@@ -28,12 +28,10 @@ CHUNK = 4096
 RATES = (64, 8)  # one in so many records is tried as a pivot, round by round
 
 
-def sets_of(df: DataFrame, record: str, member: str, least: int) -> DataFrame:
-    """Distinct (id, m) of records with at least ``least`` members; m is the hash of the trimmed member key."""
+def sets_of(df: DataFrame, record: str, member: str) -> DataFrame:
+    """Distinct (id, m); m is the hash of the trimmed member key."""
     rows = df.select(clean_key(record).alias("id"), clean_key(member).alias("k")).where("id is not null and k is not null")
-    rows = rows.select("id", F.xxhash64("k").alias("m")).distinct()
-    big = rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return rows.join(big, "id")
+    return rows.select("id", F.xxhash64("k").alias("m")).distinct()
 
 
 def _need(n: Column, s: float) -> Column:
@@ -41,32 +39,54 @@ def _need(n: Column, s: float) -> Column:
     return F.ceil(n * F.lit(s) - 1e-9)
 
 
+def _prefix(n: Column, s: float) -> Column:
+    return n - _need(n, s) + 1
+
+
 class _Sets:
-    """Classes of equal sets: ``size`` (c, n), ``tokens`` (c, n, m, pos by rising frequency), ``chunks`` (c, n, mod, chunk, ms)."""
+    """Classes of equal sets: ``members`` (id, c, n), ``tokens`` (c, n, m, pos by rising frequency, w_i), ``chunks`` (c, n, mod, chunk, ms).
+
+    w_i is the order of the last prefix member for the i-th of the similarities asked for.
+    """
 
-    def __init__(self, rows: DataFrame) -> None:
+    def __init__(self, rows: DataFrame, least: int, sims: list[float], apart: float) -> None:
         rows = written(rows, "sets")
-        prints = rows.groupBy("id", "n").agg(F.bit_xor("m").alias("x1"), F.bit_xor(F.xxhash64("m", F.lit(7))).alias("x2"))
-        prints = prints.withColumn("c", F.xxhash64("n", "x1", "x2"))
-        self.members = written(prints.select("id", "c", "n"), "classes")  # class of every record
-        first = self.members.groupBy("c").agg(F.min("id").alias("id"))
-        reps = rows.join(first, "id").select("c", "n", "m")
+        prints = rows.groupBy("id").agg(F.count("*").alias("n"), F.bit_xor("m").alias("x1"), F.bit_xor(F.xxhash64("m", F.lit(7))).alias("x2")).where(F.col("n") >= least)
+        self.members = written(prints.select("id", F.xxhash64("n", "x1", "x2").alias("c"), "n"), "classes")
+        first = self.members.groupBy("c", "n").agg(F.min("id").alias("id"))
+        # a set with no other of a size within the threshold has no partner; there are at most sqrt(2 rows) distinct sizes
+        by_size = Window.orderBy("n")
+        sizes = first.groupBy("n").agg(F.count("*").alias("k")).select("n", "k", F.lag("n").over(by_size).alias("lo"), F.lead("n").over(by_size).alias("hi"))
+        company = sizes.where((F.col("k") > 1) | (F.col("lo") >= F.col("n") * apart - 1e-9) | (F.col("n") >= F.col("hi") * apart - 1e-9)).select("n")
+        reps = rows.join(first.join(company, "n"), "id").select("c", "n", "m")
         freq = reps.groupBy("m").agg(F.count("*").alias("f"))
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("c").orderBy("f", "m")
-        short = self._near_sizes(reps)
-        tokens = short.join(freq, "m").withColumn("pos", F.row_number().over(w))
-        self.tokens = written(tokens.select("c", "n", "m", "pos"), "tokens")
-        mod = F.greatest(F.lit(1), F.shiftleft(F.lit(1), F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / CHUNK))).cast("int")))
-        parts = self.tokens.withColumn("mod", mod).withColumn("chunk", F.pmod(F.col("m"), F.col("mod")).cast("int"))
+        w = Window.partitionBy("c")
+        # order of members: rare first; the low hash bits break ties
+        tokens = reps.join(freq, "m").withColumn("o", F.shiftleft(F.col("f"), 32) + F.col("m").bitwiseAND(F.lit(0xFFFFFFFF))).withColumn("pos", F.row_number().over(w.orderBy("o", "m")))
+        self.sims = sims
+        tokens = tokens.select("c", "n", "m", "pos", *[F.max(F.when(F.col("pos") <= _prefix(F.col("n"), s), F.col("o"))).over(w).alias(f"w{i}") for i, s in enumerate(sims)])
+        self.tokens = written(tokens, "tokens")
+        mod = F.expr(f"shiftleft(1, cast(greatest(0, floor(log2(n / {CHUNK}))) as int))")
+        parts = self.tokens.select("c", "n", "m", mod.alias("mod"), F.pmod(F.col("m"), mod).cast("int").alias("chunk"))
         self.chunks = written(parts.groupBy("c", "n", "mod", "chunk").agg(F.collect_list("m").alias("ms")), "chunks")
-        self.size = self.tokens.where("pos = 1").select("c", "n")
 
-    @staticmethod
-    def _near_sizes(reps: DataFrame) -> DataFrame:
-        """Leaves out sets no other set comes near in size (no set within a factor 2, the least similarity being 1/2 of sizes at limit)."""
-        return reps
+    def meetings(self, left: DataFrame, right: DataFrame, sim: int) -> DataFrame:
+        """Distinct (a, b), a from left and b from right, that may reach the similarity ``sims[sim]``.
+
+        Sizes and positions are tested at every meeting of two prefixes; of a pair's meetings the number counts: the
+        set whose prefix ends first has all it shares within that prefix among them.
+        """
+        s, n = self.sims[sim], F.col("n")
+        inside = F.col("pos") <= _prefix(n, s)
+        l = left.where(inside).select("m", F.col("c").alias("a"), n.alias("na"), F.col("pos").alias("pa"), F.col(f"w{sim}").alias("wa"))
+        r = right.where(inside).select("m", F.col("c").alias("b"), n.alias("nb"), F.col("pos").alias("pb"), F.col(f"w{sim}").alias("wb"))
+        need = (F.col("na") + F.col("nb")) * (s / (1 + s)) - 1e-9
+        most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+        met = l.join(r, "m").where((F.col("a") != F.col("b")) & (F.col("na") >= F.col("nb") * s - 1e-9) & (F.col("nb") >= F.col("na") * s - 1e-9) & (most >= need))
+        met = met.groupBy("a", "b").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("na", "nb", "wa", "wb")])
+        after_a, after_b = _need(F.col("na"), s) - 1, _need(F.col("nb"), s) - 1
+        rest = F.when(F.col("wa") < F.col("wb"), after_a).when(F.col("wa") > F.col("wb"), after_b).otherwise(F.greatest(after_a, after_b))
+        return met.where(F.col("k") + rest >= need).select("a", "b")
 
     def jaccard(self, pairs: DataFrame) -> DataFrame:
         """Exact distances of (a, b, …) pairs of classes: adds na, nb, inter. Finer chunks of one meet the coarser chunk of the other."""
@@ -81,48 +101,39 @@ def _distance() -> Column:
     return 1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
 
 
-def _meetings(left: DataFrame, right: DataFrame, s: float, extra: list[Column]) -> DataFrame:
-    """Distinct (a, b) of left and right tokens whose prefixes for similarity ``s`` meet and whose sizes and positions allow it."""
-    l = left.where(F.col("pos") <= F.col("n") - _need(F.col("n"), s) + 1).select("m", F.col("c").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    r = right.where(F.col("pos") <= F.col("n") - _need(F.col("n"), s) + 1).select("m", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), *extra)
-    # overlap >= s/(1+s) (na+nb) for similarity s; before this meeting at most min(pa, pb) - 1 were shared, after it what is left of the shorter
-    most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    ok = (F.col("na") >= F.col("nb") * s - 1e-9) & (F.col("nb") >= F.col("na") * s - 1e-9) & (most >= (F.col("na") + F.col("nb")) * (s / (1 + s)) - 1e-9)
-    return l.join(r, "m").where(ok)
+def cell_radius(limit: float) -> float:
+    """Half the limit, or less where limit + radius would leave nothing to share."""
+    return min(limit / 2, (1 - limit) / 2)
 
 
 class PivotCells:
-    """Home cells: ``home`` (c, q, d) of every class, ``cells`` (q, radius)."""
+    """Home cells: ``home`` (c, q, d) of every class that has company in size."""
 
     def __init__(self, sets: _Sets, limit: float) -> None:
-        self.sets, self.limit, radius = sets, limit, limit / 2
-        pool = sets.tokens
-        homes = None
+        self.sets, self.limit = sets, limit
+        self.radius = radius = cell_radius(limit)
+        pool, homes = sets.tokens, None
         for k, rate in enumerate(RATES):
-            pick = F.pmod(F.xxhash64("c", F.lit(k)), F.lit(rate)) == 0
-            met = _meetings(pool, pool.where(pick), 1 - radius, []).where("a != b").select("a", "b").distinct()
-            near = sets.jaccard(met).select("a", "b", _distance().alias("d")).where(F.col("d") <= radius + 1e-12)
-            near = near.where(F.pmod(F.xxhash64("a", F.lit(k)), F.lit(rate)) != 0)  # pivots stay pivots
+            drawn = F.pmod(F.xxhash64(F.col("c"), F.lit(k)), F.lit(rate)) == 0
+            # a sampled pivot stays a pivot; the rest of the pool looks for the nearest one
+            near = sets.jaccard(sets.meetings(pool.where(~drawn), pool.where(drawn), 0)).select("a", "b", _distance().alias("d")).where(F.col("d") <= radius + 1e-12)
             got = written(near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select(F.col("a").alias("c"), F.col("x.b").alias("q"), F.col("x.d").alias("d")), "homes")
             used = got.select(F.col("q").alias("c")).distinct().select("c", F.col("c").alias("q"), F.lit(0.0).alias("d"))
             own = got.unionByName(used)
             homes = own if homes is None else homes.unionByName(own)
-            pool = written(pool.join(own.select("c"), "c", "left_anti"), "pool")
+            pool = pool.join(own.select("c"), "c", "left_anti")
         rest = pool.where("pos = 1").select("c", F.col("c").alias("q"), F.lit(0.0).alias("d"))
         self.home = written(homes.unionByName(rest), "home")
-        self.cells = self.home.groupBy("q").agg(F.max("d").alias("radius"))
 
     def visits(self) -> DataFrame:
-        """Replicas (z, q, d): cells a class must meet by the triangle bound, home cell left out, only cells before its own."""
+        """Replicas (z, q, radius, d): cells a class must meet by the triangle bound, of those before its own."""
         t = self.sets.tokens
-        cells = self.cells.withColumnRenamed("q", "c")
-        pivots = t.join(cells, "c")
-        out = []
-        # lone pivots (radius 0) need similarity 1 - limit, cells with members the lower bound of their radius class
-        for wide, part in ((False, pivots.where("radius = 0")), (True, pivots.where("radius > 0"))):
-            s = 1 - self.limit - (self.limit / 2 if wide else 0.0)
-            out.append(_meetings(t, part, s, [F.col("radius")]).where("a != b").select("a", "b", "radius"))
-        met = out[0].unionByName(out[1]).distinct()
+        cells = self.home.groupBy("q").agg(F.max("d").alias("radius")).withColumnRenamed("q", "c")
+        wide = cells.where("radius > 0")
+        lone = t.join(wide.select("c"), "c", "left_anti").join(self.home.where("c = q").select("c"), "c", "left_semi")
+        # lone pivots need similarity 1 - limit; cells with members what is left of it for their radius
+        met = self.sets.meetings(t, lone, 1).withColumn("radius", F.lit(0.0))
+        met = met.unionByName(self.sets.meetings(t, t.join(wide.select("c"), "c", "left_semi"), 2).join(wide.withColumnRenamed("c", "b"), "b").select("a", "b", "radius"))
         mine = self.home.select(F.col("c").alias("a"), F.col("q").alias("hq"))
         met = met.join(mine, "a").where("b < hq").select("a", "b", "radius")
         d = self.sets.jaccard(met).select(F.col("a").alias("z"), F.col("b").alias("q"), "radius", "na", "nb", "inter", _distance().alias("d"))
@@ -157,8 +168,10 @@ def similar_classes(df: DataFrame, record: str, member: str, num: int = 1, den:
     """
     if not 0 < num <= den:
         raise ValueError("the threshold must be above 0 and at most 1")
-    sets = _Sets(sets_of(df, record, member, least))
-    return sets.members, PivotCells(sets, 1 - num / den).similar(num, den)
+    limit = 1 - num / den
+    sims = [1 - cell_radius(limit), 1 - limit, 1 - limit - cell_radius(limit)]
+    sets = _Sets(sets_of(df, record, member), least, sims, 1 - limit)
+    return sets.members, PivotCells(sets, limit).similar(num, den)
 
 
 def similar_pairs(df: DataFrame, record: str, member: str, num: int = 1, den: int = 2, least: int = 1) -> DataFrame:
