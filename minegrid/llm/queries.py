@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..util import table, trimmed, written
+from .chunk_encode import encode_corpus
 from .distinct_runs import ALL, build_runs, count_ranges, counts_by
 from .ledger import judge_in_batches
 from .pair_table import pair_table
+from .packing import pack
 from .sampling import uniform_sample
 from .set_join import similar_classes, similar_pairs
+from .stuffing import stuffed_pages
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -107,7 +110,26 @@ def p7_sample(spark: SparkSession, d: str) -> DataFrame:
     return uniform_sample(table(spark, d, "yelp_user").select("arrival_no", "piece_no", "user_id"), 100, ["arrival_no"], "s1")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_links, p4_found, p4_counts, p5_found, p5_error, p7_sample)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"))
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are, against the least number that could hold all tokens."""
+    boxes = p9_containers(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    a = boxes.agg(F.count("*").alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.max("used").alias("fullest"))
+    return a.withColumn("least_containers", F.ceil(F.col("tokens") / 2048)).withColumn("fill", F.when(F.col("containers") > 0, F.col("tokens") / (F.col("containers") * 2048)))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed_pages(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_links, p4_found, p4_counts, p5_found, p5_error, p7_sample, p8_ids, p9_containers, p9_fill, p10_found)}
 ORACLES = {
     "p1_found": _P1 + "SELECT b1 AS business_id_1, b2 AS business_id_2 FROM q WHERE m >= 12 AND m * nn >= 4 * n1 * n2",
     "p1_pairs": _P1 + "SELECT b1 AS business_id_1, b2 AS business_id_2, m, n1, n2, round(CAST(m AS DOUBLE) * nn / (CAST(n1 AS DOUBLE) * n2), 6) AS lift FROM q WHERE m >= 2",
