@@ -85,7 +85,7 @@ def left_join_defaults(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH b AS (SELECT DISTINCT {_key('business_id')} AS k FROM business), v AS (SELECT {_key('business_id')} AS k, round(var_pop(stars), 6) AS v FROM yelp_train GROUP BY 1),
+    f"""WITH b AS (SELECT DISTINCT {_key('business_id')} AS k FROM business), v AS (SELECT {_key('business_id')} AS k, round(var_pop(stars) + 1e-9, 6) AS v FROM yelp_train GROUP BY 1),
     p AS (SELECT {_key('business_id')} AS k, count(*) AS n FROM documents WHERE source IS DISTINCT FROM 'menu' GROUP BY 1), s AS (SELECT {_key('business_id')} AS k, count(*) AS m FROM yelp_train GROUP BY 1)
     SELECT b.k AS business_id, coalesce(v, 0.0) AS star_var, coalesce(CAST(n AS DOUBLE), 0.0) AS n_texts, coalesce(CAST(m AS DOUBLE), 0.0) AS n_ratings
     FROM b LEFT JOIN v ON v.k = b.k LEFT JOIN p ON p.k = b.k LEFT JOIN s ON s.k = b.k WHERE b.k IS NOT NULL"""
@@ -94,7 +94,7 @@ def chained_left_joins(spark: SparkSession, d: str) -> DataFrame:
     key = clean_key("business_id").alias("business_id")
     t = table(spark, d, "yelp_train")
     texts = table(spark, d, "documents").where(~F.col("source").eqNullSafe("menu")).groupBy(key).agg(F.count("*").cast("double").alias("n_texts"))
-    sides = [t.groupBy(key).agg(F.round(F.var_pop("stars"), 6).alias("star_var")), texts, t.groupBy(key).agg(F.count("*").cast("double").alias("n_ratings"))]
+    sides = [t.groupBy(key).agg(F.round(F.var_pop("stars") + 1e-9, 6).alias("star_var")), texts, t.groupBy(key).agg(F.count("*").cast("double").alias("n_ratings"))]
     return rel.with_defaults(table(spark, d, "business").select(key).where("business_id is not null").distinct(), sides, "business_id")
 
 
@@ -103,9 +103,9 @@ def global_means(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "yelp_user").agg(*[F.round(F.avg(c), 6).alias(n) for n, c in (("review_count", "review_count"), ("fans", "fans"), ("average_stars", "average_stars"), ("social", F.expr("useful + funny + cool")))])
 
 
-@_query("SELECT business_id, round(var_pop(stars), 6) AS star_var FROM yelp_train WHERE stars IS NOT NULL GROUP BY 1")
+@_query("SELECT business_id, round(var_pop(stars) + 1e-9, 6) AS star_var FROM yelp_train WHERE stars IS NOT NULL GROUP BY 1")
 def var_pop_by_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "yelp_train").where("stars is not null").groupBy("business_id").agg(F.round(F.var_pop("stars"), 6).alias("star_var"))
+    return table(spark, d, "yelp_train").where("stars is not null").groupBy("business_id").agg(F.round(F.var_pop("stars") + 1e-9, 6).alias("star_var"))
 
 
 @_query("SELECT home_city, sum(useful) AS useful, sum(compliment_hot) AS hot FROM yelp_user GROUP BY 1")
@@ -349,23 +349,24 @@ _USERS = f"""uf AS (SELECT u, max_by(f, o) AS f FROM (SELECT {_key('user_id')} A
 
 
 @_query(
-    f"""WITH {_RATED}, {_USERS} SELECT u AS user, a AS user_reviews, b AS fans, c AS user_stars, d AS friends, e AS social, f AS years, g AS elite, h AS compliments, round(v, 6) AS user_var, 0.0 AS user_likes FROM ux"""
+    f"""WITH {_RATED}, {_USERS} SELECT u AS user, a AS user_reviews, b AS fans, c AS user_stars, d AS friends, e AS social, f AS years, g AS elite, h AS compliments, round(v + 1e-9, 6) AS user_var, 0.0 AS user_likes FROM ux"""
 )
 def user_features(spark: SparkSession, d: str) -> DataFrame:
-    return R.user_features(table(spark, d, "yelp_user"), "arrival_no", _split(spark, d)[0]).withColumn("user_var", F.round("user_var", 6))
+    return R.user_features(table(spark, d, "yelp_user"), "arrival_no", _split(spark, d)[0]).withColumn("user_var", F.round(F.col("user_var") + 1e-9, 6))
 
 
 @_query(
     f"""WITH {_RATED}, {_USERS}, mm AS (SELECT avg(a) a, avg(b) b, avg(c) c, avg(d) d, avg(e) e FROM ux)
     SELECT e.u AS user, e.i AS item, e.s AS stars, round(coalesce(x.a, mm.a, 0), 5) AS user_reviews, round(coalesce(x.b, mm.b, 0), 5) AS fans, round(coalesce(x.c, mm.c, 0), 5) AS user_stars,
     round(coalesce(x.d, mm.d, 0), 5) AS friends, round(coalesce(x.e, mm.e, 0), 5) AS social, coalesce(x.f, 0.0) AS years, coalesce(x.g, 0.0) AS elite, coalesce(x.h, 0.0) AS compliments,
-    round(coalesce(x.v, 0.0), 5) AS user_var FROM e LEFT JOIN ux x ON x.u = e.u, mm"""
+    round(coalesce(x.v, 0.0) + 1e-9, 5) AS user_var FROM e LEFT JOIN ux x ON x.u = e.u, mm"""
 )
 def feature_assembly(spark: SparkSession, d: str) -> DataFrame:
     """Test ratings with the features of their users and cold-start defaults."""
     train, test = _split(spark, d)
     u = R.user_features(table(spark, d, "yelp_user"), "arrival_no", train).drop("user_likes")
     out = R.assemble(test, u, train.select("item").distinct())
+    out = out.withColumn("user_var", F.col("user_var") + 1e-9)  # off the rounding ties of small groups, as in the SQL
     return out.select(*[F.round(c, 5).alias(c) if c in ("user_reviews", "fans", "user_stars", "friends", "social", "user_var") else c for c in out.columns])
 
 
@@ -477,7 +478,7 @@ def stream_batches(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     f"""WITH {_STREAM}, rw AS (SELECT batch, user_id AS key, count(*) AS n FROM sb WHERE user_id IS NOT NULL GROUP BY 1, 2), fi AS (SELECT key, min(batch) AS f FROM rw GROUP BY 1), h(k, a, b) AS (VALUES {_FAMILY}),
-    ma AS (SELECT key, f, ((CAST(a AS BIGINT) * {_FOLD} + b) % {K.PRIME}) % {K.BITS} AS bit FROM fi, h), at AS (SELECT bit, min(f) AS t FROM ma GROUP BY 1), re AS (SELECT key, any_value(f) AS f, max(t) AS ready FROM ma JOIN at USING (bit) GROUP BY 1),
+    ma AS (SELECT key, f, ((CAST(a AS BIGINT) * {_FOLD} + b) % {K.PRIME}) % {K.BITS} AS bit FROM fi, h), bt AS (SELECT bit, min(f) AS t FROM ma GROUP BY 1), re AS (SELECT key, any_value(f) AS f, max(t) AS ready FROM ma JOIN bt USING (bit) GROUP BY 1),
     su AS (SELECT batch, sum(CASE WHEN f = batch AND ready < batch THEN n ELSE 0 END) AS fp, sum(CASE WHEN ready >= batch THEN n ELSE 0 END) AS negatives FROM rw JOIN re USING (key) GROUP BY 1)
     SELECT batch, fp, negatives, round(CASE WHEN fp + negatives > 0 THEN fp / (fp + negatives) ELSE 0.0 END, 9) AS fpr FROM su"""
 )
