@@ -69,7 +69,7 @@ def reservoir_snapshots(stream: DataFrame, key: str, size: int = 100, shown: Seq
     maximum per shown slot, in place of a sequential pass.
     """
     n = F.col("seq")
-    takes = (n <= size) | (digest_number(f"{tag}a", n) * n < F.lit(size) * F.lit(1 << 48).cast("decimal(38,0)"))
+    takes = (n <= size) | (digest_number(f"{tag}a", n).cast("decimal(18,0)") * n.cast("decimal(19,0)") < F.lit(size << 48).cast("decimal(38,0)"))
     slot = F.when(n <= size, n - 1).otherwise(F.pmod(digest_number(f"{tag}b", n), F.lit(size)))
     s = stream.select("batch", "seq", F.col(key).alias("key")).withColumn("slot", F.when(takes, slot))
     ends = s.groupBy("batch").agg(F.max("seq").alias("end"), *[F.max(F.when(F.col("slot") == k, F.struct("seq", "key"))).alias(f"s{k}") for k in shown])
