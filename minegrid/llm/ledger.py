@@ -46,18 +46,19 @@ class KeyLedger:
         seen: the trimmed key occurs in an earlier batch or in a row of this one with a smaller ``order``. Rows tied
         at the first order are all unseen; a null order counts as after all others. Rows without a key (null or
         blank) get null. Repeated rows with a larger order are seen. An empty batch gives no rows and appends none.
+        Other columns are carried along whatever their names; one called seen is replaced.
         """
-        rows = batch.withColumn("_key", clean_key(key)).withColumn("_ord", F.col(order))
-        keyed = rows.where("_key is not null")
-        firsts = keyed.groupBy(F.col("_key").alias("key")).agg(F.min("_ord").alias("first")).withColumn("bucket", self._bucket(F.col("key")))
+        rows = batch.select(F.struct("*").alias("row"), clean_key(key).alias("k"), F.col(order).alias("o"))
+        firsts = rows.where("k is not null").groupBy(F.col("k").alias("key")).agg(F.min("o").alias("first")).withColumn("bucket", self._bucket(F.col("key")))
         known = self.history().withColumn("known", F.lit(True)).hint("merge")
-        fresh = written(firsts.join(known, ["bucket", "key"], "left").where("known is null").select("bucket", "key", "first"), "fresh", "bucket")
+        fresh = written(firsts.join(known, ["bucket", "key"], "left").where("known is null").select("bucket", "key", "first"), "fresh")
         target = f"{self.path}/batch-{len(self.batches):06d}"
-        fresh.select("key", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        fresh.select("key", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
         self.batches.append(target)
-        first = fresh.select(F.col("key").alias("_k"), F.col("first").alias("_f"), F.lit(True).alias("_new"))
-        out = rows.join(first, (F.col("_key") == F.col("_k")) & F.col("_ord").eqNullSafe(F.col("_f")), "left")
-        return out.withColumn("seen", F.when(F.col("_key").isNotNull(), F.col("_new").isNull())).drop("_key", "_ord", "_k", "_f", "_new")
+        first = fresh.select("key", "first", F.lit(True).alias("new"))
+        out = rows.join(first, (F.col("k") == F.col("key")) & F.col("o").eqNullSafe(F.col("first")), "left")
+        kept = [F.col("row")[c].alias(c) for c in batch.columns if c != "seen"]
+        return out.select(*kept, F.when(F.col("k").isNotNull(), F.col("new").isNull()).alias("seen"))
 
 
 def judge_in_batches(df: DataFrame, key: str, order: str, batches: int = 4) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = "_draw"
+KEY = "__draw"
 
 
 def with_draw(df: DataFrame, identity: Sequence[str], seed: str) -> DataFrame:
@@ -68,7 +68,8 @@ def uniform_sample(df: DataFrame, k: int, identity: Sequence[str], seed: str = "
     """
     if k < 1:
         return df.limit(0)
-    return merge_samples(with_draw(df, identity, seed), k).drop(KEY)
+    keyed = with_draw(df, identity, seed).select(KEY, F.struct(*df.columns).alias("row"))
+    return merge_samples(keyed, k).select("row.*")
 
 
 def sample_pieces(df: DataFrame, piece: str, k: int, identity: Sequence[str], seed: str = "draw") -> DataFrame:
