@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Attributes that count towards a business's score.
 SCORED_ATTRIBUTES = (
-    "GoodForKids", "BikeParking", "OutdoorSeating", "HasTV", "Caters", "WheelchairAccessible",
-    "RestaurantsDelivery", "RestaurantsTakeOut", "BusinessAcceptsCreditCards",
+    "OutdoorSeating", "RestaurantsDelivery", "RestaurantsGoodForGroups", "RestaurantsReservations",
+    "RestaurantsTakeOut", "BikeParking", "BusinessAcceptsCreditCards", "GoodForKids", "HasTV",
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_family
+from ..functions.scalars import SCORED_ATTRIBUTES, hash_family
 from ..operators import clustering as C
 from ..operators import graph as G
 from ..operators import itemsets as I
@@ -61,6 +61,24 @@ def top10_items(spark: SparkSession, d: str) -> DataFrame:
     return rel.top_k(table(spark, d, "yelp_train"), "business_id")
 
 
+def _top(col: str) -> str:
+    return f"(SELECT string_agg(k || ':' || n, ' ' ORDER BY n DESC, k) FROM (SELECT {col} AS k, count(*) AS n FROM yelp_train WHERE {col} IS NOT NULL GROUP BY 1 ORDER BY n DESC, k LIMIT 10))"
+
+
+@_query(
+    "SELECT count(DISTINCT row_no) AS n_review, count(DISTINCT row_no) FILTER (strftime(rated_at, '%Y-%m-%d') LIKE '2014%') AS n_review_2014, count(DISTINCT user_id) AS n_user,"
+    f" count(DISTINCT business_id) AS n_business, {_top('user_id')} AS top10_user, {_top('business_id')} AS top10_business FROM yelp_train"
+)
+def exploration_report(spark: SparkSession, d: str) -> DataFrame:
+    """The whole exploration as one object: four distinct counts and both top lists."""
+    t = table(spark, d, "yelp_train")
+    out = distinct_counts(spark, d)
+    for col, name in (("user_id", "top10_user"), ("business_id", "top10_business")):
+        top = rel.top_k(t, col).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(col).alias("k")))).alias("x"))
+        out = out.join(F.broadcast(top.select(F.array_join(F.transform("x", lambda r: F.concat(r["k"], F.lit(":"), (-r["m"]).cast("string"))), " ").alias(name))))  # one row
+    return out
+
+
 @_query("SELECT strftime(rated_at, '%Y') AS year, count(*) AS n FROM yelp_train WHERE rated_at IS NOT NULL GROUP BY 1")
 def count_by_year_prefix(spark: SparkSession, d: str) -> DataFrame:
     y = F.substring(F.date_format("rated_at", "yyyy-MM-dd HH:mm:ss"), 1, 4)
@@ -185,6 +203,17 @@ def baskets(spark: SparkSession, d: str) -> DataFrame:
     return I.basket_arrays(I.baskets(table(spark, d, "small1"), "user_id", "business_id")).select("basket", F.array_join("items", " ").alias("items"), F.size("items").alias("n"))
 
 
+@_query(f"WITH {_SMALL} SELECT count(*) AS n_baskets, max(n) AS largest, sum(n) AS n_items FROM (SELECT u, count(*) AS n FROM b GROUP BY 1)")
+def basket_sizes(spark: SparkSession, d: str) -> DataFrame:
+    a = I.basket_arrays(I.baskets(table(spark, d, "small1"), "user_id", "business_id")).select(F.size("items").alias("n"))
+    return a.agg(F.count("*").alias("n_baskets"), F.max("n").alias("largest"), F.sum("n").alias("n_items"))
+
+
+@_query(f"WITH {_SMALL} SELECT i AS basket, string_agg(u, ' ' ORDER BY u) AS items, count(*) AS n FROM b GROUP BY 1")
+def baskets_of_users(spark: SparkSession, d: str) -> DataFrame:
+    return I.basket_arrays(I.baskets(table(spark, d, "small1"), "business_id", "user_id")).select("basket", F.array_join("items", " ").alias("items"), F.size("items").alias("n"))
+
+
 _RETAIL = "r AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') || '-' || o_custkey AS basket, CAST(l_partkey AS VARCHAR) AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
 
 
@@ -370,6 +399,21 @@ def feature_assembly(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[F.round(c, 5).alias(c) if c in ("user_reviews", "fans", "user_stars", "friends", "social", "user_var") else c for c in out.columns])
 
 
+_SCORE = " + ".join(f"CASE WHEN f.m['{k}'] IS NOT NULL AND f.m['{k}'] <> 'False' THEN 1 ELSE 0 END" for k in SCORED_ATTRIBUTES)
+
+
+@_query(
+    f"""WITH {_RATED}, bf AS (SELECT i, arg_max(f, o) AS f FROM (SELECT {_key('business_id')} AS i, coalesce(listed_at, TIMESTAMP '1900-01-01') AS o, struct_pack(s := stars, n := review_count, m := attributes) AS f FROM business) WHERE i IS NOT NULL GROUP BY 1),
+    bv AS (SELECT i, var_pop(s) AS v FROM r GROUP BY 1), tp AS (SELECT {_key('business_id')} AS i, count(*) AS n FROM documents GROUP BY 1)
+    SELECT bf.i AS item, f.s AS item_stars, CAST(f.n AS DOUBLE) AS item_reviews, coalesce(TRY_CAST(f.m['RestaurantsPriceRange2'] AS DOUBLE), 0.0) AS price, CAST({_SCORE} AS DOUBLE) AS score,
+    round(coalesce(v, 0.0) + 1e-9, 6) AS item_var, 0.0 AS photos, 0.0 AS slots, coalesce(CAST(tp.n AS DOUBLE), 0.0) AS item_likes FROM bf LEFT JOIN bv USING (i) LEFT JOIN tp USING (i)"""
+)
+def business_features(spark: SparkSession, d: str) -> DataFrame:
+    tips = table(spark, d, "documents").select("business_id", F.lit(1).alias("likes"))
+    b = R.business_features(table(spark, d, "business"), "listed_at", _split(spark, d)[0], tips=tips)
+    return b.withColumn("item_var", F.round(F.col("item_var") + 1e-9, 6))
+
+
 def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
     train, test = _split(spark, d)
     u = written(R.user_features(table(spark, d, "yelp_user"), "arrival_no", train), "user-features")
@@ -499,6 +543,14 @@ def _digest(tag: str) -> str:
     return f"CAST('0x' || substr(md5('{tag}:' || seq), 1, 12) AS BIGINT)"
 
 
+@_query(
+    "WITH n AS (SELECT user_id AS value, row_number() OVER (ORDER BY user_id) - 1 AS idx FROM (SELECT DISTINCT user_id FROM events)), q AS (SELECT unnest(range(1, 9001)) AS seq)"
+    " SELECT (seq - 1) // 300 AS batch, seq, value FROM q JOIN n ON idx = CAST('0x' || substr(md5('d1:' || seq), 1, 12) AS BIGINT) % (SELECT count(*) FROM n)"
+)
+def simulated_stream(spark: SparkSession, d: str) -> DataFrame:
+    return K.drawn_with_replacement(table(spark, d, "events").select("user_id").distinct(), "user_id", 300, 30)
+
+
 _SHOWN = (0, 20, 40, 60, 80)
 
 

@@ -77,6 +77,21 @@ def reservoir_snapshots(stream: DataFrame, key: str, size: int = 100, shown: Seq
     return ends.select("batch", F.col("end").alias("seq"), *[F.max(f"s{k}").over(w)["key"].alias(f"slot_{k}") for k in shown])
 
 
+def drawn_with_replacement(source: DataFrame, value: str, size: int, batches_: int, tag: str = "d1") -> DataFrame:
+    """(batch, seq, value): a simulated stream of ``batches_`` batches of ``size`` uniform draws, with replacement, from the rows of ``source``.
+
+    Draw n takes the row whose number (in the order of ``value``) is a digest of n modulo the number of rows. An empty
+    source gives an empty stream.
+    """
+    numbered = dense_index(source.select(F.col(value).alias("value")), "value")
+    n = numbered.count()
+    if not n:
+        return source.sparkSession.createDataFrame([], f"batch bigint, seq bigint, value {source.schema[value].dataType.simpleString()}")
+    seq = source.sparkSession.range(1, size * batches_ + 1).withColumnRenamed("id", "seq")
+    draws = seq.select(F.floor((F.col("seq") - 1) / size).cast("bigint").alias("batch"), "seq", F.pmod(digest_number(tag, F.col("seq")), F.lit(n)).alias("idx"))
+    return draws.join(numbered, "idx").select("batch", "seq", "value")
+
+
 def bottom_k(stream: DataFrame, identity: str, k: int = 100, tag: str = "b1") -> DataFrame:
     """The k rows with the smallest digests of their identity: a uniform sample that merges by taking the smallest again."""
     d = F.md5(F.concat(F.lit(f"{tag}:"), F.col(identity).cast("string")))
