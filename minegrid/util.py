@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +69,7 @@ def _sweep() -> None:
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = new_dir(spark, name)
     w = df.write.mode("overwrite")
     if partition_by:
@@ -74,5 +78,26 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so their Python workers need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_minegrid_shipped", False):
+        return
+    sc._minegrid_shipped = True
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    path = f"{new_dir(spark, 'package')}.zip"
+    _made.append((spark, path))
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
