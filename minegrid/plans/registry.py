@@ -494,14 +494,46 @@ def modularity(spark: SparkSession, d: str) -> DataFrame:
     return G.modularity(e, G.label_propagation(e))
 
 
+#: Common parts that make an edge of the shared graph. Customers and parts grow alike, so the number of pairs with two
+#: common parts stays about the same as data grow; with three or more it falls.
+SHARED_K = 2
+
+
+@_query(f"WITH {_BOUGHT.format(k=SHARED_K)} SELECT u, v, common FROM ed")
+def shared_graph(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d, SHARED_K)
+
+
+@_query(f"WITH {_BOUGHT.format(k=SHARED_K)}, {_SYM}, {_lpa(5)} SELECT id, label FROM l5")
+def shared_label_propagation(spark: SparkSession, d: str) -> DataFrame:
+    return G.label_propagation(_edges(spark, d, SHARED_K))
+
+
+@_query(f"WITH {_BOUGHT.format(k=SHARED_K)}, {_SYM}, {_lpa(5)} SELECT string_agg(id, ' ' ORDER BY id) AS members, count(*) AS size FROM l5 GROUP BY label")
+def shared_communities(spark: SparkSession, d: str) -> DataFrame:
+    c = G.communities(G.label_propagation(_edges(spark, d, SHARED_K)))
+    return c.select(F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members"), "size")
+
+
+@_query()
+def shared_components(spark: SparkSession, d: str) -> DataFrame:
+    return G.connected_components(_edges(spark, d, SHARED_K))
+
+
+@_query()
+def shared_modularity(spark: SparkSession, d: str) -> DataFrame:
+    e = _edges(spark, d, SHARED_K)
+    return G.modularity(e, G.label_propagation(e))
+
+
 @_query()
 def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return G.edge_betweenness(_edges(spark, d, 7))
+    return G.edge_betweenness(_edges(spark, d, SHARED_K))
 
 
 @_query()
 def girvan_newman(spark: SparkSession, d: str) -> DataFrame:
-    return G.girvan_newman(_edges(spark, d, 8))
+    return G.girvan_newman(_edges(spark, d, SHARED_K))
 
 
 # ---- streams ----------------------------------------------------------------------------------------------------
