@@ -63,23 +63,29 @@ def frequent_by_growth(rows: DataFrame, support: int) -> DataFrame:
     return got.select(F.sort_array("items").alias("items"), F.col("freq").alias("n"))
 
 
-def local_candidates(rows: DataFrame, support: int, chunk: Column, max_size: int = 2) -> DataFrame:
-    """First pass: sets of up to ``max_size`` items frequent in some chunk at its scaled threshold ceil(support n_chunk / n)."""
+def local_candidates(rows: DataFrame, support: int, chunk: Column, max_size: int | None = 2) -> DataFrame:
+    """First pass: sets of up to ``max_size`` items (None: of any size) frequent in some chunk at its scaled threshold ceil(support n_chunk / n)."""
     marked = rows.withColumn("chunk", chunk)
     sizes = marked.select("chunk", "basket").distinct().groupBy("chunk").agg(F.count("*").alias("m"))
     n = sizes.agg(F.sum("m").alias("total"))
     need = written(sizes.join(F.broadcast(n)).select("chunk", F.expr(f"(m * {support} + total - 1) div total").alias("need")), "need")
     cur = marked.select("chunk", "basket", F.array("item").alias("items"), F.col("item").alias("last"))
-    out, k = None, 1
+    out, k, single, pairs = None, 1, None, None
     while True:
         level = written(cur.groupBy("chunk", "items").agg(F.count("*").alias("c")).join(need, "chunk").where("c >= need").select("chunk", "items"), f"local{k}")
         found = level.select("items")
         out = found if out is None else out.unionByName(found)
-        if k == max_size:
+        if k == max_size or level.isEmpty():
             return out.distinct()
-        alive = cur.join(level, ["chunk", "items"], "left_semi")
-        single = marked if k > 1 else alive.select("chunk", "basket", F.col("last").alias("item"))
-        cur = alive.join(single.select("basket", F.col("item").alias("more")), "basket").where(F.col("more") > F.col("last")).select("chunk", "basket", F.concat("items", F.array("more")).alias("items"), F.col("more").alias("last"))
+        alive = written(cur.join(level, ["chunk", "items"], "left_semi"), f"alive{k}")
+        if k == 1:
+            single = alive.select("basket", F.col("last").alias("more"))
+        if k == 2:
+            pairs = level.select("chunk", F.col("items")[0].alias("last"), F.col("items")[1].alias("more"))
+        ext = alive.join(single, "basket").where(F.col("more") > F.col("last"))
+        if pairs is not None:  # an extension can be frequent only where its last two items are
+            ext = ext.join(pairs, ["chunk", "last", "more"], "left_semi")
+        cur = ext.select("chunk", "basket", F.concat("items", F.array("more")).alias("items"), F.col("more").alias("last"))
         k += 1
 
 

@@ -275,6 +275,33 @@ def son_frequent(spark: SparkSession, d: str) -> DataFrame:
     return _shown(I.count_candidates(rows, cand, s))
 
 
+#: Support of the queries of all sizes. The groups bought together don't grow with the number of baskets, so a share of them loses these.
+WHOLE_SUPPORT = 20
+
+
+@_query()
+def all_frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
+    """Frequent sets of every size."""
+    return _shown(I.frequent_itemsets(_rows(spark, d)[0], WHOLE_SUPPORT))
+
+
+def _chunked_whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = _rows(spark, d)[0]
+    return rows, I.local_candidates(rows, WHOLE_SUPPORT, F.pmod(F.xxhash64("basket"), F.lit(4)), None)
+
+
+@_query()
+def son_all_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked_whole(spark, d)[1].select(F.size("items").alias("size"), F.array_join("items", " ").alias("items"))
+
+
+@_query()
+def son_all_frequent(spark: SparkSession, d: str) -> DataFrame:
+    """Frequent sets of every size, by the two passes over chunks."""
+    rows, cand = _chunked_whole(spark, d)
+    return _shown(I.count_candidates(rows, written(cand, "candidates"), WHOLE_SUPPORT))
+
+
 # ---- similar sets -----------------------------------------------------------------------------------------------
 
 _SETS = f"a AS (SELECT DISTINCT {_key('business_id')} AS r, {_key('user_id')} AS m FROM yelp_train), s AS (SELECT r, m FROM a WHERE r IS NOT NULL AND m IS NOT NULL)"
