@@ -25,9 +25,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return s.where(F.col("m") * F.lit(n) >= 4 * F.col("n1") * F.col("n2")).select(F.col("item_1").alias("business_id_1"), F.col("item_2").alias("business_id_2"))
 
 
+def _shown(s: DataFrame) -> DataFrame:
+    return s.select(F.col("item_1").alias("business_id_1"), F.col("item_2").alias("business_id_2"), "m", "n1", "n2", F.round("lift", 6).alias("lift"))
+
+
+def p1_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that occurs together, once or more."""
+    return _shown(pair_table(table(spark, d, "small1"), "user_id", "business_id").scores())
+
+
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of ``p1_all_pairs`` that occur together at least twice, as its SQL has it."""
     s = pair_table(table(spark, d, "small1"), "user_id", "business_id").scores(min_together=2)
-    return s.select(F.col("item_1").alias("business_id_1"), F.col("item_2").alias("business_id_2"), "m", "n1", "n2", F.round("lift", 6).alias("lift"))
+    return _shown(s)
 
 
 _P1 = f"""
@@ -129,10 +139,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(table(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_links, p4_found, p4_counts, p5_found, p5_error, p7_sample, p8_ids, p9_containers, p9_fill, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_all_pairs, p3_found, p3_links, p4_found, p4_counts, p5_found, p5_error, p7_sample, p8_ids, p9_containers, p9_fill, p10_found)}
 ORACLES = {
     "p1_found": _P1 + "SELECT b1 AS business_id_1, b2 AS business_id_2 FROM q WHERE m >= 12 AND m * nn >= 4 * n1 * n2",
     "p1_pairs": _P1 + "SELECT b1 AS business_id_1, b2 AS business_id_2, m, n1, n2, round(CAST(m AS DOUBLE) * nn / (CAST(n1 AS DOUBLE) * n2), 6) AS lift FROM q WHERE m >= 2",
+    "p1_all_pairs": _P1 + "SELECT b1 AS business_id_1, b2 AS business_id_2, m, n1, n2, round(CAST(m AS DOUBLE) * nn / (CAST(n1 AS DOUBLE) * n2), 6) AS lift FROM q",
     "p3_found": _P3 + "SELECT b1 AS business_id_1, b2 AS business_id_2 FROM f",
     "p3_links": _P3 + "SELECT n.b AS business_id, n.n AS n_users, count(o) AS n_links FROM n LEFT JOIN (SELECT b1 AS i, b2 AS o FROM f UNION ALL SELECT b2, b1 FROM f) ON i = n.b GROUP BY 1, 2",
     "p4_found": _P4 + """, e AS (SELECT time_no, any_value(estimation) AS e, count(DISTINCT k) AS n FROM task2 LEFT JOIN u ON day BETWEEN CAST(day_from AS DATE) AND CAST(day_to AS DATE)
