@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..util import table, trimmed, written
 from .chunk_encode import encode_corpus
-from .distinct_runs import ALL, build_runs, count_ranges, counts_by
+from .distinct_runs import ALL, build_runs, count_ranges, counts_by, with_bound
 from .ledger import judge_in_batches
 from .pair_table import pair_table
 from .packing import pack
@@ -91,6 +91,20 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("day").cast("string").alias("day"), *[F.when(F.col(x) != ALL, F.col(x)).alias(x) for x in ("client_app", "home_city")], "n", (F.col("max_error") < 1e-6).alias("exact_to_a_millionth"))
 
 
+def p4_all_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users per app, city and both (null: all of them) of each day, over all days and over every run of days that task2 names, with the error bound."""
+    dims = ["client_app", "home_city"]
+    runs = _runs(spark, d)
+    days = counts_by(runs, ["day", *dims]).select(F.lit("day").alias("kind"), F.col("day").alias("day_from"), F.col("day").alias("day_to"), *dims, "n", "max_error")
+    none = F.lit(None).cast("date")
+    whole = counts_by(runs, dims).select(F.lit("all").alias("kind"), none.alias("day_from"), none.alias("day_to"), *dims, "n", "max_error")
+    named = table(spark, d, "task2").select(F.to_date(trimmed("day_from")).alias("day_from"), F.to_date(trimmed("day_to")).alias("day_to")).where("day_from is not null and day_to is not null").distinct()
+    asked = written(named.crossJoin(runs.select(*dims).distinct()), "asked-runs")
+    ranges = with_bound(count_ranges(runs, asked, dims).where("n > 0")).select(F.lit("run").alias("kind"), "day_from", "day_to", *dims, "n", "max_error")
+    c = days.unionByName(whole).unionByName(ranges)
+    return c.select("kind", *[F.col(x).cast("string").alias(x) for x in ("day_from", "day_to")], *[F.when(F.col(x) != ALL, F.col(x)).alias(x) for x in dims], "n", "max_error")
+
+
 _P4 = f"""
 WITH u AS (SELECT DISTINCT CAST(arrived_at AS DATE) AS day, client_app, home_city, trim(user_id, {_BLANK}) k FROM yelp_user WHERE trim(user_id, {_BLANK}) <> '' AND arrived_at IS NOT NULL)
 """
@@ -139,7 +153,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(table(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_all_pairs, p3_found, p3_links, p4_found, p4_counts, p5_found, p5_error, p7_sample, p8_ids, p9_containers, p9_fill, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_all_pairs, p3_found, p3_links, p4_found, p4_counts, p4_all_counts, p5_found, p5_error, p7_sample, p8_ids, p9_containers, p9_fill, p10_found)}
 ORACLES = {
     "p1_found": _P1 + "SELECT b1 AS business_id_1, b2 AS business_id_2 FROM q WHERE m >= 12 AND m * nn >= 4 * n1 * n2",
     "p1_pairs": _P1 + "SELECT b1 AS business_id_1, b2 AS business_id_2, m, n1, n2, round(CAST(m AS DOUBLE) * nn / (CAST(n1 AS DOUBLE) * n2), 6) AS lift FROM q WHERE m >= 2",
@@ -154,6 +168,13 @@ ORACLES = {
         UNION ALL SELECT day, client_app, NULL, count(DISTINCT k) FROM u WHERE client_app IS NOT NULL GROUP BY 1, 2
         UNION ALL SELECT day, NULL, home_city, count(DISTINCT k) FROM u WHERE home_city IS NOT NULL GROUP BY 1, 3
         UNION ALL SELECT day, client_app, home_city, count(DISTINCT k) FROM u WHERE client_app IS NOT NULL AND home_city IS NOT NULL GROUP BY 1, 2, 3)""",
+    "p4_all_counts": _P4 + """, x AS (SELECT day, k, client_app, home_city FROM u WHERE client_app IS NOT NULL AND home_city IS NOT NULL UNION ALL SELECT day, k, client_app, NULL FROM u WHERE client_app IS NOT NULL
+        UNION ALL SELECT day, k, NULL, home_city FROM u WHERE home_city IS NOT NULL UNION ALL SELECT day, k, NULL, NULL FROM u),
+        r AS (SELECT DISTINCT CAST(day_from AS DATE) AS f, CAST(day_to AS DATE) AS t FROM task2 WHERE day_from IS NOT NULL AND day_to IS NOT NULL),
+        c AS (SELECT 'day' AS kind, day AS f, day AS t, client_app, home_city, count(DISTINCT k) AS n FROM x GROUP BY day, client_app, home_city
+        UNION ALL SELECT 'all', NULL, NULL, client_app, home_city, count(DISTINCT k) FROM x GROUP BY client_app, home_city
+        UNION ALL SELECT 'run', f, t, client_app, home_city, count(DISTINCT k) FROM x JOIN r ON day BETWEEN f AND t GROUP BY f, t, client_app, home_city)
+        SELECT kind, CAST(f AS VARCHAR) AS day_from, CAST(t AS VARCHAR) AS day_to, client_app, home_city, n, CAST(n AS DOUBLE) * (n - 1) / power(2.0, 65) AS max_error FROM c""",
     "p5_found": _P5 + "SELECT arrival_no FROM s WHERE arrival_no > f",
     "p5_error": _P5 + "SELECT count(*) AS n_answers, count(*) FILTER (arrival_no > f) AS n_seen, 0 AS n_wrong, 0.0::DOUBLE AS wrong_share FROM s",
     "p7_sample": "SELECT arrival_no, piece_no, user_id FROM yelp_user ORDER BY md5('s1:' || arrival_no) LIMIT 100",
