@@ -3,9 +3,9 @@
 State in the shared folder, all in parquet and versioned per hash bucket: baskets (user, item), marginals (item, n)
 and pairs (item_1 < item_2, m). A batch of signed records changes some baskets; only those emit deltas: +1 for
 pairs that came to be, -1 for pairs that ceased, likewise for marginals. Deltas are summed before they are shuffled
-to their bucket and only buckets they touch are written anew. Association scores are kept without the
-number of baskets N (m / (n1 n2)), so a batch invalidates only scores whose m, n1 or n2 changed; N is applied on
-reading. A large basket is cut in blocks of ``BLOCK`` items and its pairs are made block by block, each in a row
+to their bucket and only buckets they touch are written anew. Association scores are not kept: scores() joins
+and scores the whole pair table on reading; affected_scores() gives those that the last batch changed, without the
+number of baskets N (m / (n1 n2)). A large basket is cut in blocks of ``BLOCK`` items and its pairs are made block by block, each in a row
 of its own that any task can take, so no task holds a whole basket's pairs.
 """
 
