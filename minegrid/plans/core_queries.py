@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.packed import explode_packed
+from ..operators.packed import explode_packed, reading_report
 from ..operators.references import Reference, orphan_report, orphans
 from ..util import table
 
@@ -34,7 +34,12 @@ def p6_item_counts(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("field_name", "item").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_by_month, p6_found, p6_item_counts)}
+def p6_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Per field: strings, strings with more than one reading, and readings the check had to mend."""
+    return reading_report(table(spark, d, "yelp_user"), "arrival_no", ["friends", "elite"])
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_by_month, p6_found, p6_item_counts, p6_readings)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _P2 = f"""
@@ -48,16 +53,16 @@ c AS (SELECT row_no, ref_column, 'missing' AS kind, t FROM j WHERE hit IS NULL
       UNION ALL SELECT row_no, ref_column, 'late', t FROM j WHERE hit IS NOT NULL AND t < a
       UNION ALL SELECT row_no, ref_column, 'deleted', t FROM j WHERE hit IS NOT NULL AND t >= x)
 """
-_MARK = r"!-,./:-@\[-^`{-~"
-_SP = r" \t\n\r\v\f"
+# quoted spans and what lies between them are told apart first; separators outside spans become chr(1), spans start with chr(2)
 _P6 = rf"""
 WITH f AS (SELECT arrival_no, 'friends' AS field_name, trim(friends, {_BLANK}) s FROM yelp_user
            UNION ALL SELECT arrival_no, 'elite', trim(elite, {_BLANK}) FROM yelp_user),
 g AS (SELECT arrival_no, field_name, CASE WHEN length(s) > 1 AND s[1] = '[' AND s[-1] = ']' THEN trim(s[2:-2], {_BLANK}) ELSE s END s FROM f WHERE s <> ''),
-m AS (SELECT arrival_no, field_name, regexp_extract_all(s, '("(?:[^"]|"")*"|''(?:[^'']|'''')*''|(?:-|[^{_MARK.replace("'", "''")}{_SP}])*)(?:[{_SP}]*[!-,./:-@\[-^`{{-~][{_SP}]*|[{_SP}]+|$)', 1) xs FROM g),
-e AS (SELECT arrival_no, field_name, CAST(generate_subscripts(xs, 1) AS BIGINT) AS pos, unnest(xs) AS v FROM m),
-p6 AS (SELECT arrival_no, field_name, pos, CASE WHEN v[1] IN ('"', '''') THEN replace(v[2:-2], v[1] || v[1], v[1]) ELSE v END AS item
-       FROM e WHERE v <> '' AND lower(v) NOT IN ('none', 'null', '-'))
+m AS (SELECT arrival_no, field_name, regexp_extract_all(s, '"(?:[^"]|"")*"|''(?:[^'']|'''')*''|[^"'']+') xs FROM g),
+c AS (SELECT arrival_no, field_name, string_split(array_to_string(list_transform(xs, lambda x: CASE WHEN x[1] IN ('"', '''') THEN chr(2) || replace(x[2:-2], x[1] || x[1], x[1])
+           ELSE regexp_replace(x, '\s*[^\w\s-]\s*|\s+', chr(1), 'g') END), ''), chr(1)) AS vs FROM m),
+e AS (SELECT arrival_no, field_name, CAST(generate_subscripts(vs, 1) AS BIGINT) AS pos, unnest(vs) AS v FROM c),
+p6 AS (SELECT arrival_no, field_name, pos, CASE WHEN v[1] = chr(2) THEN v[2:] ELSE v END AS item FROM e WHERE v <> '' AND lower(v) NOT IN ('none', 'null', '-'))
 """
 
 ORACLES = {
