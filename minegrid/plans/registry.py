@@ -184,14 +184,19 @@ def zscore_features(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- frequent itemsets ------------------------------------------------------------------------------------------
 
+#: Support of the itemset queries. The groups bought together don't grow with the number of baskets, so a share of them would lose these.
+SUPPORT = 12
+
 _SMALL = f"s AS (SELECT DISTINCT {_key('user_id')} AS u, {_key('business_id')} AS i FROM small1), b AS (SELECT u, i FROM s WHERE u IS NOT NULL AND i IS NOT NULL)"
-_SUPPORT = "t AS (SELECT greatest(4, (count(DISTINCT u) + 99) // 100) AS s FROM b)"
+# occurrences of frequent sets, level by level until there are none
+_LEVELS = f"""fr AS (SELECT i FROM b GROUP BY 1 HAVING count(*) >= {SUPPORT}), fb AS (SELECT u, i FROM b JOIN fr USING (i)),
+    oc AS (SELECT 1 AS size, u, i AS items, i AS last FROM fb UNION ALL SELECT size + 1, oc.u, items || ' ' || fb.i, fb.i FROM oc JOIN fb ON fb.u = oc.u AND fb.i > last
+    QUALIFY count(*) OVER (PARTITION BY items || ' ' || fb.i) >= {SUPPORT}), fs AS (SELECT size, items, count(*) AS n FROM oc GROUP BY 1, 2)"""
 
 
-def _rows(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """Baskets of items per user, and one in a hundred baskets as support."""
-    rows = written(I.baskets(table(spark, d, "small1"), "user_id", "business_id"), "baskets")
-    return rows, max(4, -(-rows.select("basket").distinct().count() // 100))
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    """Baskets of items per user."""
+    return written(I.baskets(table(spark, d, "small1"), "user_id", "business_id"), "baskets")
 
 
 def _shown(sets: DataFrame) -> DataFrame:
@@ -205,7 +210,7 @@ def baskets(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_SMALL} SELECT count(*) AS n_baskets, max(n) AS largest, sum(n) AS n_items FROM (SELECT u, count(*) AS n FROM b GROUP BY 1)")
 def basket_sizes(spark: SparkSession, d: str) -> DataFrame:
-    a = I.basket_arrays(I.baskets(table(spark, d, "small1"), "user_id", "business_id")).select(F.size("items").alias("n"))
+    a = I.baskets(table(spark, d, "small1"), "user_id", "business_id").groupBy("basket").agg(F.count("*").alias("n"))
     return a.agg(F.count("*").alias("n_baskets"), F.max("n").alias("largest"), F.sum("n").alias("n_items"))
 
 
@@ -224,82 +229,56 @@ def basket_filter(spark: SparkSession, d: str) -> DataFrame:
     return I.baskets(r, "b", "i", more_than=5).groupBy("basket").agg(F.count("*").alias("n"))
 
 
-@_query(f"WITH {_SMALL}, {_SUPPORT} SELECT 1 AS size, i AS items, count(*) AS n FROM b, t GROUP BY i, s HAVING count(*) >= s")
+@_query(f"WITH {_SMALL} SELECT 1 AS size, i AS items, count(*) AS n FROM b GROUP BY i HAVING count(*) >= {SUPPORT}")
 def frequent_singletons(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(I.frequent_singletons(*_rows(spark, d)))
-
-
-_PAIRS = "SELECT 2 AS size, x.i || ' ' || y.i AS items, count(*) AS n FROM b x JOIN b y ON x.u = y.u AND x.i < y.i, t GROUP BY x.i, y.i, s HAVING count(*) >= s"
-_TRIPLES = "SELECT 3 AS size, x.i || ' ' || y.i || ' ' || z.i AS items, count(*) AS n FROM b x JOIN b y ON x.u = y.u AND x.i < y.i JOIN b z ON z.u = y.u AND y.i < z.i, t GROUP BY x.i, y.i, z.i, s HAVING count(*) >= s"
+    return _shown(I.frequent_singletons(_rows(spark, d), SUPPORT))
 
 
-@_query(f"WITH {_SMALL}, {_SUPPORT} {_PAIRS}")
+@_query(f"WITH {_SMALL} SELECT 2 AS size, x.i || ' ' || y.i AS items, count(*) AS n FROM b x JOIN b y ON x.u = y.u AND x.i < y.i GROUP BY x.i, y.i HAVING count(*) >= {SUPPORT}")
 def frequent_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(I.frequent_itemsets(*_rows(spark, d), max_size=2)).where("size = 2")
+    return _shown(I.frequent_itemsets(_rows(spark, d), SUPPORT, max_size=2)).where("size = 2")
 
 
-@_query(f"WITH {_SMALL}, {_SUPPORT} {_TRIPLES}")
+@_query(f"WITH {_SMALL} SELECT 3 AS size, x.i || ' ' || y.i || ' ' || z.i AS items, count(*) AS n FROM b x JOIN b y ON x.u = y.u AND x.i < y.i JOIN b z ON z.u = y.u AND y.i < z.i GROUP BY x.i, y.i, z.i HAVING count(*) >= {SUPPORT}")
 def frequent_triples(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(I.frequent_itemsets(*_rows(spark, d), max_size=3)).where("size = 3")
+    return _shown(I.frequent_itemsets(_rows(spark, d), SUPPORT, max_size=3)).where("size = 3")
 
 
-@_query(f"WITH {_SMALL}, {_SUPPORT} SELECT 1 AS size, i AS items, count(*) AS n FROM b, t GROUP BY i, s HAVING count(*) >= s UNION ALL {_PAIRS} UNION ALL {_TRIPLES}")
+@_query(f"WITH RECURSIVE {_SMALL}, {_LEVELS} SELECT size, items, n FROM fs")
 def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(I.frequent_itemsets(*_rows(spark, d), max_size=3))
+    """Frequent sets of every size."""
+    return _shown(I.frequent_itemsets(_rows(spark, d), SUPPORT))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_SMALL}, {_LEVELS} SELECT size, items, n FROM fs")
 def frequent_by_growth(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(I.frequent_by_growth(*_rows(spark, d)))
+    """The same by parallel pattern growth."""
+    return _shown(I.frequent_by_growth(_rows(spark, d), SUPPORT))
 
 
-_CHUNKS = """c AS (SELECT CAST(u AS BIGINT) % 4 AS c, u, i FROM b), m AS (SELECT c, count(DISTINCT u) AS m FROM c GROUP BY 1),
-    w AS (SELECT c, (m * (SELECT s FROM t) + (SELECT sum(m) FROM m) - 1) // (SELECT sum(m) FROM m) AS need FROM m),
-    f AS (SELECT DISTINCT 1 AS size, i AS items FROM (SELECT c.c, i, count(*) AS n FROM c GROUP BY 1, 2) x JOIN w ON w.c = x.c WHERE n >= need
-    UNION SELECT 2, a || ' ' || e FROM (SELECT x.c, x.i AS a, y.i AS e, count(*) AS n FROM c x JOIN c y ON x.u = y.u AND x.i < y.i GROUP BY 1, 2, 3) x JOIN w ON w.c = x.c WHERE n >= need)"""
+_CHUNKS = f"""c AS (SELECT CAST(u AS BIGINT) % 4 AS c, u, i FROM b), m AS (SELECT c, count(DISTINCT u) AS m FROM c GROUP BY 1),
+    w AS (SELECT c, (m * {SUPPORT} + (SELECT sum(m) FROM m) - 1) // (SELECT sum(m) FROM m) AS need FROM m),
+    cf AS (SELECT c, i, any_value(need) AS need FROM c JOIN w USING (c) GROUP BY 1, 2 HAVING count(*) >= any_value(need)), cb AS (SELECT c, u, i, need FROM c JOIN cf USING (c, i)),
+    co AS (SELECT 1 AS size, c, u, i AS items, i AS last FROM cb UNION ALL SELECT size + 1, co.c, co.u, items || ' ' || cb.i, cb.i FROM co JOIN cb ON cb.u = co.u AND cb.c = co.c AND cb.i > last
+    QUALIFY count(*) OVER (PARTITION BY co.c, items || ' ' || cb.i) >= need), f AS (SELECT DISTINCT size, items FROM co)"""
 
 
-def _chunked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
-    rows, s = _rows(spark, d)
-    return rows, I.local_candidates(rows, s, F.pmod(F.col("basket").cast("bigint"), F.lit(4)), 2), s
+def _chunked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = _rows(spark, d)
+    return rows, I.local_candidates(rows, SUPPORT, F.pmod(F.col("basket").cast("bigint"), F.lit(4)), None)
 
 
-@_query(f"WITH {_SMALL}, {_SUPPORT}, {_CHUNKS} SELECT size, items FROM f")
+@_query(f"WITH RECURSIVE {_SMALL}, {_CHUNKS} SELECT size, items FROM f")
 def son_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of every size that are frequent in some chunk."""
     return _chunked(spark, d)[1].select(F.size("items").alias("size"), F.array_join("items", " ").alias("items"))
 
 
-@_query(f"WITH {_SMALL}, {_SUPPORT} SELECT 1 AS size, i AS items, count(*) AS n FROM b, t GROUP BY i, s HAVING count(*) >= s UNION ALL {_PAIRS}")
+@_query(f"WITH RECURSIVE {_SMALL}, {_LEVELS} SELECT size, items, n FROM fs")
 def son_frequent(spark: SparkSession, d: str) -> DataFrame:
-    rows, cand, s = _chunked(spark, d)
-    return _shown(I.count_candidates(rows, cand, s))
-
-
-#: Support of the queries of all sizes. The groups bought together don't grow with the number of baskets, so a share of them loses these.
-WHOLE_SUPPORT = 20
-
-
-@_query()
-def all_frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
-    """Frequent sets of every size."""
-    return _shown(I.frequent_itemsets(_rows(spark, d)[0], WHOLE_SUPPORT))
-
-
-def _chunked_whole(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = _rows(spark, d)[0]
-    return rows, I.local_candidates(rows, WHOLE_SUPPORT, F.pmod(F.xxhash64("basket"), F.lit(4)), None)
-
-
-@_query()
-def son_all_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _chunked_whole(spark, d)[1].select(F.size("items").alias("size"), F.array_join("items", " ").alias("items"))
-
-
-@_query()
-def son_all_frequent(spark: SparkSession, d: str) -> DataFrame:
     """Frequent sets of every size, by the two passes over chunks."""
-    rows, cand = _chunked_whole(spark, d)
-    return _shown(I.count_candidates(rows, written(cand, "candidates"), WHOLE_SUPPORT))
+    rows, cand = _chunked(spark, d)
+    return _shown(I.count_candidates(rows, written(cand, "candidates"), SUPPORT))
 
 
 # ---- similar sets -----------------------------------------------------------------------------------------------

@@ -16,9 +16,9 @@ def _small(spark, path):
 def test_sets_of_every_size(spark, tmp_path):
     d = _small(spark, tmp_path)
     want = {" ".join(c): 50 if c == ("0",) else 25 for k in range(1, 6) for c in itertools.combinations("01234", k)}
-    for name in ("all_frequent_itemsets", "son_all_frequent"):
+    for name in ("frequent_itemsets", "son_frequent", "frequent_by_growth"):
         assert {r["items"]: r.n for r in registry.QUERIES[name](spark, d).collect()} == want
-    assert {r["items"] for r in registry.QUERIES["son_all_candidates"](spark, d).collect()} >= set(want)
+    assert {r["items"] for r in registry.QUERIES["son_candidates"](spark, d).collect()} >= set(want)
 
 
 def test_local_candidates_of_any_size_and_none(spark):
