@@ -38,8 +38,8 @@ def test_signed_batches_equal_brute_force(spark, monkeypatch, block):
         assert {(r.item_1, r.item_2): r.m for r in t.pairs.read().collect()} == dict(m)
         assert {r.item: r.n for r in t.marginals.read().collect()} == dict(n)
         assert t.n_baskets() == len(live)
-        for r in t.affected_scores().collect():
-            assert r.score == pytest.approx(m[(r.item_1, r.item_2)] / (n[r.item_1] * n[r.item_2]))
+        for r in t.pairs.read().collect():  # kept scores follow every batch
+            assert (r.n1, r.n2) == (n[r.item_1], n[r.item_2])
     r = t.scores().first()
     assert r.lift == pytest.approx(m[(r.item_1, r.item_2)] * len(live) / (n[r.item_1] * n[r.item_2]))
 
@@ -50,6 +50,29 @@ def test_empty_pair_table(spark):
     assert t.scores().count() == 0 and t.n_baskets() == 0
 
 
+def test_pair_table_goes_on_where_it_was_left(spark, tmp_path):
+    path = f"file://{tmp_path}/pairs"
+    cols = "u string, i string"
+    P.PairTable(spark, 4, path).apply(spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")], cols), "u", "i")
+    again = P.PairTable(spark, 8, path)
+    assert again.n_baskets() == 2 and again.pairs.buckets == 4
+    assert {(r.item_1, r.item_2, r.m, r.n1, r.n2) for r in again.scores().collect()} == {("x", "y", 2, 2, 2)}
+    again.apply(spark.createDataFrame([("c", "x"), ("c", "y"), ("c", "z")], cols), "u", "i")
+    want = {("x", "y", 3, 3, 3), ("x", "z", 1, 3, 1), ("y", "z", 1, 3, 1)}
+    for t in (again, P.PairTable(spark, path=path)):
+        assert t.n_baskets() == 3 and {(r.item_1, r.item_2, r.m, r.n1, r.n2) for r in t.scores().collect()} == want
+    t.apply(spark.createDataFrame([("a", "x"), ("a", "y"), ("c", "z")], cols), "u", "i", F.lit(-1))
+    assert P.PairTable(spark, path=path).n_baskets() == 2
+    assert {(r.item_1, r.item_2, r.m, r.n1, r.n2) for r in t.scores().collect()} == {("x", "y", 2, 2, 2)}
+
+
+def test_only_pairs_with_a_changed_item_are_made(spark):
+    t = P.PairTable(spark, 4)
+    t.apply(spark.createDataFrame([("a", f"{k:03d}") for k in range(100)], "u string, i string"), "u", "i")
+    state = spark.createDataFrame([("a", f"{k:03d}", k != 7, True) for k in range(100)], "user string, item string, was boolean, now boolean")
+    assert t._pair_deltas(state).count() == 99
+
+
 SCHEMA = "n bigint, key string, bucket string, seen string"
 
 
