@@ -5,8 +5,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from minegrid.llm import ledger as L
 from minegrid.llm import pair_table as P
-from minegrid.llm.ledger import KeyLedger, judge_in_batches
+from minegrid.llm.ledger import _AS_IT_LIES, KeyLedger, judge_in_batches, settings
 
 
 def brute(baskets):
@@ -97,3 +98,27 @@ def test_ledger_equals_a_set(spark, batches):
         known.add(k)
     assert {r.n: r.seen for r in judge_in_batches(spark.createDataFrame(rows, SCHEMA), "key", "n", batches).collect()} == want
     assert judge_in_batches(spark.createDataFrame([], SCHEMA), "key", "n", batches).count() == 0
+
+
+def test_history_is_joined_as_it_lies(spark):
+    led = KeyLedger(spark, buckets=4)
+    for n in range(6):
+        led.judge(spark.createDataFrame([(k, f"k{k}", None, None) for k in range(30 * n, 30 * n + 40)], SCHEMA), "key", "n")
+    assert led.history().count() == led.history().distinct().count() == 190 and len(led.runs) <= 4
+    with settings(spark, **_AS_IT_LIES, **{"spark.sql.adaptive.enabled": "false"}):
+        firsts = spark.createDataFrame([("k1", 1)], "key string, first bigint")
+        plan = led.unseen(firsts)._jdf.queryExecution().executedPlan().toString()
+    scans = plan.count("FileScan parquet")
+    assert scans == len(led.runs) and plan.count("Bucketed: true") == scans
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1  # those of the batch
+
+
+def test_ledger_outgrows_its_buckets(spark, monkeypatch):
+    monkeypatch.setattr(L, "BUCKET_ROWS", 10)
+    led = KeyLedger(spark, buckets=2)
+    for n in range(3):
+        led.judge(spark.createDataFrame([(k, f"k{k}", None, None) for k in range(30 * n, 30 * n + 40)], SCHEMA), "key", "n")
+    again = KeyLedger(spark, led.path)
+    assert again.buckets == 32 and again.history().count() == 100
+    two = spark.createDataFrame([(1, "k5", None, None), (2, "new", None, None)], SCHEMA)
+    assert sorted((r.n, r.seen) for r in again.judge(two, "key", "n").collect()) == [(1, True), (2, False)]
