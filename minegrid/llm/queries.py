@@ -153,7 +153,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(table(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_all_pairs, p3_found, p3_links, p4_found, p4_counts, p4_all_counts, p5_found, p5_error, p7_sample, p8_ids, p9_containers, p9_fill, p10_found)}
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """What the verdict on each case is made of: mean PMI of neighbours, share of repeated pairs, share of stuffed words, score."""
+    return stuffed_pages(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_all_pairs, p3_found, p3_links, p4_found, p4_counts, p4_all_counts, p5_found, p5_error, p7_sample, p8_ids, p9_containers, p9_fill, p10_found, p10_scores)}
 ORACLES = {
     "p1_found": _P1 + "SELECT b1 AS business_id_1, b2 AS business_id_2 FROM q WHERE m >= 12 AND m * nn >= 4 * n1 * n2",
     "p1_pairs": _P1 + "SELECT b1 AS business_id_1, b2 AS business_id_2, m, n1, n2, round(CAST(m AS DOUBLE) * nn / (CAST(n1 AS DOUBLE) * n2), 6) AS lift FROM q WHERE m >= 2",

@@ -105,3 +105,24 @@ def test_long_text_is_judged_whole(spark):
 @pytest.mark.parametrize("word", ["Ｃａｆé", "café", "CAFE"])
 def test_odd_spellings_meet_the_plain_form(word):
     assert X.words(word + "​ 12x") == ["cafe", "0x"]
+
+
+def test_rare_words_and_pairs_share_one_count(spark, monkeypatch):
+    import numpy as np
+
+    docs = spark.createDataFrame([(k, "alpha beta gamma delta " * 5 + f"odd{chr(97 + k)}") for k in range(20)], "doc_id bigint, text string")
+    tokens = docs.select("doc_id", "text").mapInPandas(X._tokenise, "doc_id bigint, toks array<bigint>, tags int").cache()
+    c = X.corpus_counts(tokens)
+    assert len(c.word) == 24 and c.total == 420 and sorted(c.word_n)[-4:] == [100.0] * 4 and c.total_pairs == 400
+    assert sorted(c.pair_n)[-4:] == [80.0, 100.0, 100.0, 100.0] and len(c.pair) == 24
+    monkeypatch.setattr(X, "HEADS", 20)
+    few = X.corpus_counts(tokens)
+    assert len(few.word) == 4 and few.total == 420 and len(few.pair) == 4 and few.total_pairs == 400
+    assert few.n(few.ids(np.array([X._code("alpha"), X._code("odda")]))).tolist() == [100.0, 420 / 20 / 2]
+    tokens.unpersist()
+
+
+def test_page_scores_show_pmi_and_repetition(spark):
+    docs = [(1, "cheap shoes " * 20, None), (2, None, None), (3, "", None), (4, "one two", None)]
+    got = {r.doc_id: r for r in X.page_scores(spark.createDataFrame(docs, "doc_id bigint, text string, score string")).collect()}
+    assert set(got) == {1, 4} and got[1].repeated > 0.9 and got[1].n_words == 40 and got[4].score == 0
