@@ -1,15 +1,15 @@
 """Orphan references: parent keys compressed to contiguous runs, references matched as-of to the run before them.
 
-A key becomes an order-preserving integer where it is one already, else the 64-bit hash of its text.
-Parents, sorted by (code, key) within code segments, are folded into runs of consecutive codes; every run
-carries its first code, its last code and, by offset, the keys and life spans of its members. A reference
-takes the last run that starts at or before it; beyond the run's end it has no target. The key text at the
-offset is compared as well, so two texts with one hash stay apart and the answer is exact.
+Keys become order-preserving integers. Integer keys are their own; text keys get their place among all distinct
+keys of the column's parents and references, sorted. So parents that exist side by side form a run, and a gap between
+two runs is where only orphans lie. Every run carries its first code, its last code and, by offset, the life spans of
+its members. A reference takes the last run that starts at or before it; beyond the run's end it has no target.
 
 Scale: only *distinct* referenced keys (with the least and greatest reference time, combined before the
-shuffle) take part in the as-of match, so a key that holds a third of all rows is one row there. Rows are
-touched again only to join them with the keys that have at least one case, spread by a salt. A segment holds
-at most ``2**shift`` parent codes (natural integers) or its even share of 65,536 segments (hashed keys).
+shuffle) take part in the numbering and the as-of match, so a key that holds a third of all rows is one row there. Numbering
+sorts distinct keys by ranges, one segment each; nothing is numbered in one task. Rows are touched again only to join
+them with the keys that have at least one case, spread by a salt. A segment holds at most ``2**20`` codes (integer
+keys) or a range partition's keys.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import clean_key
+from ..util import clean_key, written
 
-RUN_LEN = 256  # a run is also cut at multiples of this, so that what a window row carries stays small
+RUN_LEN = 64  # a run is also cut at multiples of this, so that what a window row carries stays small
 SALTS = 16
 
 
@@ -37,12 +37,25 @@ class Reference:
     deleted: str | None = None
 
 
-def key_code(key: Column, integers: bool) -> Column:
-    return key.try_cast("bigint") if integers else F.xxhash64(key)
+SEGMENT_BITS = 20
 
 
-def _segment(code: Column, integers: bool) -> Column:
-    return F.shiftright(code, 20 if integers else 48)
+def coded(lives: DataFrame, keys: DataFrame, integers: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Parents and references, both one row per (ref_column, key), with ``code`` and ``seg``.
+
+    ``integers``: the code is the key itself, null where the key is no plain integer ("007" is none). Otherwise it is
+    the key's place in the sorted order of all keys of both sides, counted within its segment.
+    """
+    if integers:
+        n = F.col("key").try_cast("bigint")
+        return tuple(x.withColumn("code", F.when(n.cast("string") == F.col("key"), n)).withColumn("seg", F.shiftright("code", SEGMENT_BITS)) for x in (lives, keys))
+    both = lives.withColumn("is_ref", F.lit(0)).unionByName(keys.withColumn("is_ref", F.lit(1)), allowMissingColumns=True)
+    ranged = both.repartitionByRange("ref_column", "key").withColumn("seg", F.spark_partition_id().cast("bigint"))
+    w = Window.partitionBy("seg").orderBy("ref_column", "key")
+    # written once: both sides must see the same segments
+    numbered = written(ranged.withColumn("code", F.dense_rank().over(w).cast("bigint")), "numbered-keys")
+    side = lambda k, df: numbered.where(F.col("is_ref") == k).select(*df.columns, "code", "seg")
+    return side(0, lives), side(1, keys)
 
 
 def parent_lives(refs: Sequence[Reference]) -> DataFrame:
@@ -62,35 +75,46 @@ def parent_lives(refs: Sequence[Reference]) -> DataFrame:
     return out.where("key is not null").groupBy("ref_column", "key").agg(F.min("a").alias("arrived"), F.min("d").alias("deleted"))
 
 
-def key_runs(lives: DataFrame, integers: bool = False) -> DataFrame:
-    """Runs of consecutive codes: ref_column, seg, code (= run start), key (of the start), run_end, members by offset."""
-    p = lives.withColumn("code", key_code(F.col("key"), integers)).where("code is not null").withColumn("seg", _segment(F.col("code"), integers))
-    w = Window.partitionBy("ref_column", "seg").orderBy("code", "key")
+def key_runs(parents: DataFrame) -> DataFrame:
+    """Runs of consecutive codes: ref_column, seg, code (= run start), run_end, members (arrived, deleted) by offset."""
+    p = parents.where("code is not null")
+    w = Window.partitionBy("ref_column", "seg").orderBy("code")
     before = F.lag("code").over(w)
-    starts = F.when(before.isNotNull() & (F.col("code") != before) & (F.col("code") == before + 1) & (F.pmod(F.col("code"), F.lit(RUN_LEN)) != 0), 0).otherwise(1)
+    starts = F.when((F.col("code") == before + 1) & (F.pmod(F.col("code"), F.lit(RUN_LEN)) != 0), 0).otherwise(1)
     p = p.withColumn("starts", starts).withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return (
-        p.groupBy("ref_column", "seg", "run")
-        .agg(F.min("code").alias("code"), F.max("code").alias("run_end"), F.array_sort(F.collect_list(F.struct("code", "key", "arrived", "deleted"))).alias("members"))
-        .select("ref_column", "seg", "code", F.col("members")[0]["key"].alias("key"), "run_end", "members")
-    )
+    runs = p.groupBy("ref_column", "seg", "run").agg(F.min("code").alias("code"), F.max("code").alias("run_end"), F.array_sort(F.collect_list(F.struct("code", "arrived", "deleted"))).alias("members"))
+    return runs.select("ref_column", "seg", "code", "run_end", F.transform("members", lambda m: F.struct(m["arrived"].alias("arrived"), m["deleted"].alias("deleted"))).alias("members"))
 
 
-def match_runs(keys: DataFrame, runs: DataFrame, integers: bool = False) -> DataFrame:
-    """As-of match of distinct (ref_column, key, …) rows: adds ``hit`` (key, arrived, deleted of the target; null: beyond the run's end)."""
-    extra = [c for c in keys.columns if c not in ("ref_column", "key")]
-    k = keys.withColumn("code", key_code(F.col("key"), integers))
-    lost = k.where("code is null").select("ref_column", "key", *extra, F.lit(None).cast(runs.schema["members"].dataType.elementType).alias("hit"))
-    k = k.where("code is not null").withColumn("seg", _segment(F.col("code"), integers))
-    side = runs.select("ref_column", "seg", "code", "key", F.lit(0).alias("is_ref"), F.struct(F.col("code").alias("start"), F.col("run_end").alias("end"), "members").alias("run"))
-    refs = k.withColumn("is_ref", F.lit(1))
-    w = Window.partitionBy("ref_column", "seg").orderBy("code", "key", "is_ref").rowsBetween(Window.unboundedPreceding, 0)
+def match_runs(keys: DataFrame, runs: DataFrame) -> DataFrame:
+    """As-of match of coded references: adds ``hit`` (arrived, deleted of the target; null: beyond the run's end, or no code)."""
+    kept = [c for c in keys.columns if c not in ("code", "seg")]
+    lost = keys.where("code is null").select(*kept, F.lit(None).cast(runs.schema["members"].dataType.elementType).alias("hit"))
+    side = runs.select("ref_column", "seg", "code", F.lit(0).alias("is_ref"), F.struct(F.col("code").alias("start"), F.col("run_end").alias("end"), "members").alias("run"))
+    refs = keys.where("code is not null").withColumn("is_ref", F.lit(1))
+    w = Window.partitionBy("ref_column", "seg").orderBy("code", "is_ref").rowsBetween(Window.unboundedPreceding, 0)
     both = side.unionByName(refs, allowMissingColumns=True).withColumn("r", F.last("run", ignorenulls=True).over(w)).where("is_ref = 1")
     inside = F.col("r").isNotNull() & (F.col("code") <= F.col("r.end"))
-    at = F.when(inside, F.try_element_at("r.members", (F.col("code") - F.col("r.start") + 1).cast("int")))
-    both = both.withColumn("hit", at)
-    both = both.withColumn("hit", F.when(F.col("hit.key") == F.col("key"), F.col("hit")))
-    return both.select("ref_column", "key", *extra, "hit").unionByName(lost)
+    hit = F.when(inside, F.try_element_at("r.members", (F.col("code") - F.col("r.start") + 1).cast("int")))
+    return both.select(*kept, hit.alias("hit")).unionByName(lost)
+
+
+def run_report(rows: DataFrame, refs: Sequence[Reference], integers: bool = False) -> DataFrame:
+    """Per referring column: parents, runs they form, the longest run, and distinct references matched."""
+    keys = referenced(rows, refs, F.lit(None).cast("timestamp"))
+    parents, keys = coded(parent_lives(refs), keys.groupBy("ref_column", "key").agg(F.min("at").alias("first_at")), integers)
+    runs = written(key_runs(parents), "runs")
+    n = F.size("members").cast("bigint")
+    shape = runs.groupBy("ref_column").agg(F.sum(n).alias("n_parents"), F.count("*").alias("n_runs"), F.max(n).alias("longest"))
+    hits = match_runs(keys, runs).groupBy("ref_column").agg(F.count("*").alias("n_references"), F.count("hit").alias("n_matched"))
+    return shape.join(hits, "ref_column", "full")
+
+
+def referenced(rows: DataFrame, refs: Sequence[Reference], at: Column, row_id: Column | None = None) -> DataFrame:
+    """One row (row_id, at, ref_column, key) per reference that has a key."""
+    base = rows.select((row_id if row_id is not None else F.lit(None)).alias("row_id"), at.alias("at"), *[clean_key(r.column).alias(f"k{i}") for i, r in enumerate(refs)])
+    long = base.select("row_id", "at", F.explode(F.array(*[F.struct(F.lit(r.column).alias("ref_column"), F.col(f"k{i}").alias("key")) for i, r in enumerate(refs)])).alias("x"))
+    return long.select("row_id", "at", "x.ref_column", "x.key").where("key is not null")
 
 
 def orphans(rows: DataFrame, row_id: str, at: Column, refs: Sequence[Reference], integers: bool = False) -> DataFrame:
@@ -100,13 +124,12 @@ def orphans(rows: DataFrame, row_id: str, at: Column, refs: Sequence[Reference],
     'deleted' (at or after its first deletion). A reference that is both late and deleted gives both kinds.
     References whose key is null or blank are no cases; a null ``at`` can only be 'missing'. Repeated rows
     give one case each only if their row_id differs. ``integers`` declares keys to be integers; a text that
-    is none is then missing. Empty tables give no rows (empty parent: every reference is missing).
+    is no plain integer is then missing. Empty tables give no rows (empty parent: every reference is missing).
     """
-    base = rows.select(F.col(row_id).alias("row_id"), at.alias("at"), *[clean_key(r.column).alias(f"k{i}") for i, r in enumerate(refs)])
-    long = base.select("row_id", "at", F.explode(F.array(*[F.struct(F.lit(r.column).alias("ref_column"), F.col(f"k{i}").alias("key")) for i, r in enumerate(refs)])).alias("x"))
-    long = long.select("row_id", "at", "x.ref_column", "x.key").where("key is not null")
+    long = referenced(rows, refs, at, F.col(row_id))
     keys = long.groupBy("ref_column", "key").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
-    seen = match_runs(keys, key_runs(parent_lives(refs), integers), integers)
+    parents, keys = coded(parent_lives(refs), keys, integers)
+    seen = match_runs(keys, key_runs(parents))
     suspects = seen.where(F.col("hit").isNull() | (F.col("first_at") < F.col("hit.arrived")) | (F.col("last_at") >= F.col("hit.deleted"))).select(
         "ref_column", "key", F.col("hit").isNull().alias("missing"), F.col("hit.arrived").alias("arrived"), F.col("hit.deleted").alias("deleted")
     )

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.packed import explode_packed, reading_report
-from ..operators.references import Reference, orphan_report, orphans
+from ..operators.references import Reference, orphan_report, orphans, run_report
 from ..util import table
 
 
-def _cases(spark: SparkSession, d: str) -> DataFrame:
-    refs = [
+def _targets(spark: SparkSession, d: str) -> list[Reference]:
+    return [
         Reference("user_id", table(spark, d, "yelp_user"), "user_id", "arrived_at", "deleted_at"),
         Reference("business_id", table(spark, d, "business"), "business_id", "listed_at", "deleted_at"),
     ]
-    return orphans(table(spark, d, "yelp_train"), "row_no", F.coalesce("rated_at", "loaded_at"), refs)
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    return orphans(table(spark, d, "yelp_train"), "row_no", F.coalesce("rated_at", "loaded_at"), _targets(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +29,11 @@ def p2_by_month(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_cases(spark, d))
 
 
+def p2_runs(spark: SparkSession, d: str) -> DataFrame:
+    """How far parent keys compress: parents, runs, longest run, references and those matched, per referring column."""
+    return run_report(table(spark, d, "yelp_train"), _targets(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return explode_packed(table(spark, d, "yelp_user"), "arrival_no", ["friends", "elite"])
 
@@ -39,7 +47,7 @@ def p6_readings(spark: SparkSession, d: str) -> DataFrame:
     return reading_report(table(spark, d, "yelp_user"), "arrival_no", ["friends", "elite"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_by_month, p6_found, p6_item_counts, p6_readings)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_by_month, p2_runs, p6_found, p6_item_counts, p6_readings)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _P2 = f"""
