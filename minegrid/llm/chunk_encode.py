@@ -1,7 +1,9 @@
 """Tokenizing a corpus with content-defined chunks that are shared across documents and encoded once.
 
 Texts are cut where a rolling hash of the last ``WINDOW`` characters meets a mask, so equal passages give equal
-chunks wherever they stand. Distinct chunks of the whole corpus are encoded once. A chunk's own
+chunks wherever they stand. A chunk that occurs twice or more in the corpus is encoded once and its record reused; what lies
+between shared chunks occurs once and is encoded where it stands. Only digests, the shared chunks' records and, where these
+are many, the texts once are shuffled. A chunk's own
 encoding is right inside and may be wrong at its ends, where the cut fell into a piece of the tokenizer's
 pattern or hid what follows. So every chunk's record keeps, beside its ids, the first piece borders after its start
 and the last one that nothing behind it can change. Joining repairs each seam: the text from the last settled border is
@@ -129,6 +131,28 @@ def join_chunks(p, parts: list[tuple]) -> list[int]:
     return out
 
 
+def read_text(p, text: str, ends: list[int], known: dict[int, tuple]) -> list[int]:
+    """ids of a text cut at ``ends``; ``known`` has the records of the shared chunks by their number.
+
+    Stretches of chunks that occur nowhere else are encoded here, as one chunk each; a text without shared chunks at once.
+    """
+    if not known:
+        return p.encode(text)
+    parts: list[tuple] = []
+    last = open_ = 0
+    for n, end in enumerate(ends):
+        got = known.get(n)
+        if got is not None:
+            if open_ < last:
+                parts.append((text[open_:last], *encode_chunk(p, text[open_:last])))
+            parts.append((text[last:end], *got))
+            open_ = end
+        last = end
+    if open_ < last:
+        parts.append((text[open_:last], *encode_chunk(p, text[open_:last])))
+    return join_chunks(p, parts)
+
+
 def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, ids) of every row; null and empty texts get an empty list, white space is text like any other.
 
@@ -145,44 +169,48 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
         ctx = pyspark.TaskContext.get()
         row = ctx.partitionId() << 40 if ctx else 0
         for b in batches:
-            key, seq, chunk, digest, ids = [], [], [], [], []
-            for d, t in zip(b["doc_id"], b["text"]):
+            rows, ends, digests = [], [], []
+            for t in b["text"]:
                 row += 1
-                last = 0
-                for n, c in enumerate(cuts(t) if t else [0]):
-                    piece = t[last:c] if t else ""
-                    last = c
-                    ids.append(d)
-                    key.append(row)
-                    seq.append(n)
-                    chunk.append(piece)
-                    digest.append(hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=b["doc_id"].dtype if len(ids) else None), "row": key, "seq": seq, "digest": digest, "chunk": chunk})
-
-    cut = written(src.mapInPandas(split, f"doc_id {kind}, row bigint, seq int, digest binary, chunk string"), "chunks")
+                at = cuts(t) if t else []
+                rows.append(row)
+                ends.append(at)
+                digests.append([hashlib.blake2b(t[i:j].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i, j in zip([0, *at], at)])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "row": rows, "ends": ends, "digests": digests})
+
+    # texts lie here once more; null and empty ones have no chunks and take part in nothing that is shuffled
+    cut = written(src.mapInPandas(split, f"doc_id {kind}, text string, row bigint, ends array<int>, digests array<binary>"), "chunks")
+    each = cut.select("row", F.posexplode("digests").alias("seq", "digest"))
+    counts = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("row", "seq")).alias("first"))
+    shared = counts.where("n > 1").select("digest", "first.row", "first.seq")
+    # a shared chunk is encoded by the first document that holds it
+    owners = written(shared.groupBy("row").agg(F.collect_list(F.struct("seq", "digest")).alias("own")), "owners")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(path)
         for b in batches:
-            got = [encode_chunk(p, t) for t in b["chunk"]]
-            out = pd.DataFrame(got, columns=["ids", "heads", "head_at", "tail", "tail_at"])
-            out.insert(0, "digest", b["digest"].values)
-            out["chunk"] = b["chunk"].values
-            yield out
-
-    once = cut.groupBy("digest").agg(F.first("chunk").alias("chunk"))
-    codes = once.mapInPandas(encode, "digest binary, ids array<int>, heads array<int>, head_at array<int>, tail int, tail_at int, chunk string")
-    part = F.struct("seq", F.col("chunk").alias("text"), "ids", "heads", "head_at", "tail", "tail_at")
-    docs_parts = cut.select("doc_id", "row", "seq", "digest").join(codes, "digest").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(part).alias("parts"))
+            got = []
+            for t, ends, own in zip(b["text"], b["ends"], b["own"]):
+                for x in own:
+                    n = x["seq"]
+                    got.append((x["digest"], *encode_chunk(p, t[ends[n - 1] if n else 0 : ends[n]])))
+            yield pd.DataFrame(got, columns=["digest", "ids", "heads", "head_at", "tail", "tail_at"])
+
+    first = cut.select("row", "text", "ends").join(owners, "row").select("text", "ends", "own")
+    codes = written(first.mapInPandas(encode, "digest binary, ids array<int>, heads array<int>, head_at array<int>, tail int, tail_at int"), "codes")
+    places = each.select("row", "seq", "digest").join(codes, "digest")
+    parts = written(places.groupBy("row").agg(F.collect_list(F.struct("seq", "ids", "heads", "head_at", "tail", "tail_at")).alias("parts")), "parts")
+    # texts move only if the parts are too large to be sent to them, by their size on disk
+    both = cut.select("doc_id", "row", "text", "ends").join(parts, "row", "left").select("doc_id", "text", "ends", "parts")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(path)
         for b in batches:
             res = []
-            for parts in b["parts"]:
-                own = sorted(parts, key=lambda x: x["seq"])
-                res.append(join_chunks(p, [(x["text"], list(x["ids"]), list(x["heads"]), list(x["head_at"]), x["tail"], x["tail_at"]) for x in own]))
+            for t, ends, own in zip(b["text"], b["ends"], b["parts"]):
+                known = {x["seq"]: (list(x["ids"]), list(x["heads"]), list(x["head_at"]), x["tail"], x["tail_at"]) for x in own} if own is not None else {}
+                res.append(read_text(p, t, list(ends), known) if t else [])
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": res})
 
-    res = docs_parts.select("doc_id", "parts").mapInPandas(join, f"doc_id {kind}, ids array<int>")
+    res = both.mapInPandas(join, f"doc_id {kind}, ids array<int>")
     return res.withColumnRenamed("doc_id", doc_id)

@@ -1,7 +1,8 @@
 """Distinct counts from delta-coded sorted runs of 64-bit hashes; parts merge by k-way union.
 
 A run is the sorted set of the hashes of one cell (day and group) within one slice of the hash range, stored as
-variable-length differences. Slices keep every run bounded whatever the group's size, and counts of slices
+variable-length differences. A cell has as many slices as its own size asks for, so every run is bounded and small cells
+stay whole; runs that are merged are first cut to the slices of what they merge to. Counts of slices
 add up, because slices are disjoint. Two identifiers share a hash with probability 2^-64, so with n distinct
 identifiers the count is short by at most one with probability under n(n-1)/2^65 (birthday bound); the same number
 bounds the expected shortfall.
@@ -9,11 +10,11 @@ bounds the expected shortfall.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..util import clean_key
@@ -66,39 +67,83 @@ def union(runs: Sequence[bytes]) -> np.ndarray:
     return np.unique(parts[0]) if parts else np.empty(0, np.uint64)
 
 
+def _bits(n: Column) -> Column:
+    """Slices of a cell of n hashes: 2 to this many, so that one holds about ``SLICE_TARGET`` at most."""
+    return F.when(n > SLICE_TARGET, F.least(F.lit(40), F.ceil(F.log2(n / SLICE_TARGET)))).otherwise(0).cast("int")
+
+
+def _slice(h: Column, bits: Column) -> Column:
+    return F.when(bits > 0, F.call_function("shiftrightunsigned", h, F.lit(64) - bits)).otherwise(F.lit(0).cast("bigint"))
+
+
 def build_runs(df: DataFrame, key: str, at: str, dims: Sequence[str]) -> DataFrame:
-    """Runs per day and every roll-up of ``dims``: day, dims (ALL where rolled up), slice, run, n.
+    """Runs per day and every roll-up of ``dims``: day, dims (ALL where rolled up), bits, slice, run, n.
 
-    Rows without a key or a day are left out; a row whose dimension is null counts only where that dimension is
-    rolled up. Repeated rows count once. An empty table gives no runs.
+    A cell has 2^bits slices of the hash range, by its own size. Rows without a key or a day are left out; a row whose
+    dimension is null counts only where that dimension is rolled up. Repeated rows count once. An empty table gives no runs.
     """
-    base = df.select(F.xxhash64(clean_key(key)).alias("h"), clean_key(key).isNotNull().alias("ok"), F.to_date(at).alias("day"), *[F.col(c).cast("string").alias(f"g{i}") for i, c in enumerate(dims)])
-    base = base.where("ok and day is not null").drop("ok").distinct()
-    bits = max(0, min(16, int(np.ceil(np.log2(max(1, df.count() / SLICE_TARGET))))))
-    for i in range(len(dims)):
-        base = base.withColumn(f"g{i}", F.explode(F.array_compact(F.array(F.lit(ALL), F.col(f"g{i}")))))
     cells = [f"g{i}" for i in range(len(dims))]
-    base = base.withColumn("slice", F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0))
-    sets = base.groupBy("day", *cells, "slice").agg(F.collect_set("h").alias("hs"))
+
+    def rolled(d: DataFrame) -> DataFrame:
+        for g in cells:
+            d = d.withColumn(g, F.explode(F.array_compact(F.array(F.lit(ALL), F.col(g)))))
+        return d
+
+    base = df.select(F.xxhash64(clean_key(key)).alias("h"), clean_key(key).isNotNull().alias("ok"), F.to_date(at).alias("day"), *[F.col(c).cast("string").alias(g) for c, g in zip(dims, cells)]).where("ok and day is not null").drop("ok")
+    # rows bound the distinct hashes of a cell; only cells of more than SLICE_TARGET rows are named
+    big = rolled(base.groupBy("day", *cells).agg(F.count("*").alias("k"))).groupBy("day", *cells).agg(F.sum("k").alias("k")).where(F.col("k") > SLICE_TARGET).select("day", *cells, _bits(F.col("k")).alias("bits"))
+    sliced = rolled(base.distinct()).join(big, ["day", *cells], "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
+    sets = sliced.withColumn("slice", _slice(F.col("h"), F.col("bits"))).groupBy("day", *cells, "bits", "slice").agg(F.collect_set("h").alias("hs"))
 
     @F.pandas_udf("binary")
     def pack(hs: pd.Series) -> pd.Series:
         return hs.map(lambda a: encode(np.sort(np.asarray(a, dtype=np.int64).view(np.uint64))))
 
     named = [F.col(c).alias(d) for c, d in zip(cells, dims)]
-    return sets.select("day", *named, "slice", pack("hs").alias("run"), F.size("hs").cast("bigint").alias("n"))
+    return sets.select("day", *named, "bits", "slice", pack("hs").alias("run"), F.size("hs").cast("bigint").alias("n"))
+
+
+def respliced(runs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The runs cut or relabelled so that all of one ``by`` have the slices its total size asks for: adds nothing, changes bits, slice, run, n."""
+    total = runs.groupBy(*by).agg(F.sum("n").alias("k"), F.max("bits").alias("b")).where((F.col("k") > SLICE_TARGET) | (F.col("b") > 0)).select(*by, _bits(F.col("k")).alias("want"))
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
+    cond = on[0] if on else F.lit(True)
+    for o in on[1:]:
+        cond = cond & o
+    r = runs.alias("r").join(total.alias("t"), cond, "left").select("r.*", F.coalesce("t.want", "r.bits").alias("want"))
+    coarse = r.where("want <= bits").withColumn("slice", F.expr("shiftright(slice, bits - want)")).withColumn("bits", F.col("want")).drop("want")
+    schema = r.schema
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at, slices, parts, ns = [], [], [], []
+            for k, (run, want) in enumerate(zip(b["run"], b["want"])):
+                h = decode(run)
+                s = (h >> np.uint64(64 - want)).astype(np.int64)
+                first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+                for i, j in zip(first, [*first[1:], len(h)]):
+                    at.append(k)
+                    slices.append(int(s[i]))
+                    parts.append(encode(h[i:j]))
+                    ns.append(int(j - i))
+            out = b.iloc[at].reset_index(drop=True)
+            yield out.assign(slice=pd.Series(slices, dtype="int64"), run=pd.Series(parts, dtype=object), n=pd.Series(ns, dtype="int64"))
+
+    fine = r.where("want > bits").mapInPandas(cut, schema).withColumn("bits", F.col("want")).drop("want")
+    return coarse.unionByName(fine)
 
 
 def merge_runs(runs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Unites runs (of parts, days or groups) per ``by`` and slice into runs: by, slice, run, n."""
+    """Unites runs (of parts, days or groups) per ``by`` and slice into runs: by, bits, slice, run, n."""
 
     @F.pandas_udf("struct<run: binary, n: bigint>")
     def merge(lists: pd.Series) -> pd.DataFrame:
         sets = [union(list(r)) for r in lists]
         return pd.DataFrame({"run": [encode(u) for u in sets], "n": [len(u) for u in sets]})
 
-    lists = runs.groupBy(*by, "slice").agg(F.collect_list("run").alias("runs"))  # at most one run per part, day and group
-    return lists.select(*by, "slice", merge("runs").alias("r")).select(*by, "slice", "r.run", "r.n")
+    key = [*by, "bits", "slice"]
+    lists = respliced(runs, by).groupBy(*key).agg(F.collect_list("run").alias("runs"))  # at most one run per part, day and group
+    return lists.select(*key, merge("runs").alias("r")).select(*key, "r.run", "r.n")
 
 
 def with_bound(counts: DataFrame, n: str = "n") -> DataFrame:
@@ -112,24 +157,15 @@ def counts_by(runs: DataFrame, by: Sequence[str]) -> DataFrame:
     return with_bound(merge_runs(runs, by).groupBy(*by).agg(F.sum("n").alias("n")))
 
 
-def count_ranges(runs: DataFrame, ranges: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Distinct identifiers of each distinct range row (day_from, day_to, dims; ALL allowed): adds n.
+def recurrences(runs: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """How many hashes of a group come on ``day`` and came last on ``before`` (null: never): dims, before, day, c.
 
-    Per group and slice the runs of all days go through one k-way union that keeps, for every hash, its days; a
-    hash counts for a range at its first day within it, i.e. where the day before it lies before the range. Ranges that meet no
-    run get 0, as do ranges that end before they begin. Ranges with a null day get null.
+    Per group and slice the runs of all days go through one k-way union that keeps, for every hash, its days. Counts of slices add
+    up, so a group has at most one row per pair of days, however many hashes or slices it has.
     """
-    group = [*dims, "slice"]
-    top = runs.agg(F.max("slice")).first()[0] or 0  # at most 2^16 slices
-    asked = ranges.select("day_from", "day_to", *dims).distinct()
-    spread = asked.where("day_from is not null and day_to is not null").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(top))))
-    schema = "day_from date, day_to date, " + ", ".join(f"{d} string" for d in dims) + ", m bigint"
+    schema = ", ".join(f"{d} string" for d in dims) + ", before date, day date, c bigint"
 
-    def answer(keys: tuple, cells: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        out = lines[["day_from", "day_to", *dims]].copy()
-        out["m"] = 0
-        if not len(cells) or not len(lines):
-            return out[["day_from", "day_to", *dims, "m"]]
+    def pairs(keys: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         per_day = cells.groupby("day")["run"].agg(lambda r: union(list(r)))
         days = sorted(per_day.index)
         h = np.concatenate([per_day[d] for d in days])
@@ -139,19 +175,47 @@ def count_ranges(runs: DataFrame, ranges: DataFrame, dims: Sequence[str]) -> Dat
         before = np.full(len(h), -1)
         same = h[1:] == h[:-1]
         before[1:][same] = at[:-1][same]
-        seen = np.zeros((len(days) + 1, len(days) + 1), dtype=np.int64)  # [day before + 1, day]
-        np.add.at(seen, (before + 1, at), 1)
-        total = seen.cumsum(0).cumsum(1)
-        lo = np.searchsorted(days, list(lines["day_from"]), "left")
-        hi = np.searchsorted(days, list(lines["day_to"]), "right") - 1
-        got = np.where(hi >= lo, total[lo, np.maximum(hi, 0)] - np.where(lo > 0, total[lo, np.maximum(lo - 1, 0)], 0), 0)
-        out["m"] = got
+        code, c = np.unique((before + 1) * len(days) + at, return_counts=True)
+        known = [None, *days]
+        out = pd.DataFrame({"before": [known[k] for k in code // len(days)], "day": [days[k] for k in code % len(days)], "c": c})
+        for d, k in zip(dims, keys):
+            out[d] = k
+        return out[[*dims, "before", "day", "c"]]
+
+    part = respliced(runs, dims).groupBy(*dims, "slice").applyInPandas(pairs, schema)
+    return part.groupBy(*dims, "before", "day").agg(F.sum("c").alias("c"))
+
+
+def count_ranges(runs: DataFrame, ranges: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Distinct identifiers of each distinct range row (day_from, day_to, dims; ALL allowed): adds n.
+
+    A hash counts for a range at its first day within it, i.e. where the day it came before lies before the range; so the
+    table of recurrences answers every range of a group, and ranges never meet slices. Ranges that meet no
+    run get 0, as do ranges that end before they begin. Ranges with a null day get null.
+    """
+    asked = ranges.select("day_from", "day_to", *dims).distinct()  # at most one per pair of days and group
+    whole = asked.where("day_from is not null and day_to is not null")
+    wanted = runs.join(whole.select(*dims).distinct(), list(dims), "left_semi") if dims else runs
+    schema = "day_from date, day_to date, " + ", ".join(f"{d} string" for d in dims) + ", m bigint"
+
+    def answer(keys: tuple, cells: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        out = lines[["day_from", "day_to", *dims]].copy()
+        out["m"] = 0
+        if len(cells) and len(lines):
+            days = sorted(set(cells["day"]))
+            place = {d: k for k, d in enumerate(days)}
+            seen = np.zeros((len(days) + 1, len(days) + 1), dtype=np.int64)  # [day before + 1, day + 1]
+            rows = [0 if b is None or b is pd.NaT else place[b] + 1 for b in cells["before"]]
+            seen[rows, [place[d] + 1 for d in cells["day"]]] = cells["c"]
+            total = seen.cumsum(0).cumsum(1)
+            lo = np.searchsorted(days, list(lines["day_from"]), "left")
+            hi = np.searchsorted(days, list(lines["day_to"]), "right")
+            out["m"] = np.where(hi > lo, total[lo, hi] - total[lo, lo], 0)
         return out[["day_from", "day_to", *dims, "m"]]
 
-    part = runs.select("day", *group, "run").groupBy(*group).cogroup(spread.groupBy(*group)).applyInPandas(answer, schema)
-    sums = part.groupBy("day_from", "day_to", *dims).agg(F.sum("m").alias("m"))
+    part = recurrences(wanted, dims).groupBy(*dims).cogroup(whole.groupBy(*dims)).applyInPandas(answer, schema)
     on = F.lit(True)
-    a, s = asked.alias("a"), sums.alias("s")
+    a, s = asked.alias("a"), part.alias("s")
     for c in ("day_from", "day_to", *dims):
         on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}"))
     n = F.when(F.col("a.day_from").isNotNull() & F.col("a.day_to").isNotNull(), F.coalesce("s.m", F.lit(0)))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..util import clean_key, written
 
 CHUNK = 4096
+LARGE = 1 << 17  # members above which a set is ordered by several tasks
 RATES = (64, 8)  # one in so many records is tried as a pivot, round by round
 
 
@@ -60,16 +61,32 @@ class _Sets:
         company = sizes.where((F.col("k") > 1) | (F.col("lo") >= F.col("n") * apart - 1e-9) | (F.col("n") >= F.col("hi") * apart - 1e-9)).select("n")
         reps = rows.join(first.join(company, "n"), "id").select("c", "n", "m")
         freq = reps.groupBy("m").agg(F.count("*").alias("f"))
-        w = Window.partitionBy("c")
         # order of members: rare first; the low hash bits break ties
-        tokens = reps.join(freq, "m").withColumn("o", F.shiftleft(F.col("f"), 32) + F.col("m").bitwiseAND(F.lit(0xFFFFFFFF))).withColumn("pos", F.row_number().over(w.orderBy("o", "m")))
+        ordered = reps.join(freq, "m").withColumn("o", F.shiftleft(F.col("f"), 32) + F.col("m").bitwiseAND(F.lit(0xFFFFFFFF)))
         self.sims = sims
-        tokens = tokens.select("c", "n", "m", "pos", *[F.max(F.when(F.col("pos") <= _prefix(F.col("n"), s), F.col("o"))).over(w).alias(f"w{i}") for i, s in enumerate(sims)])
-        self.tokens = written(tokens, "tokens")
+        small, big = ordered.where(F.col("n") <= LARGE), ordered.where(F.col("n") > LARGE)
+        w = Window.partitionBy("c")
+        small = small.withColumn("pos", F.row_number().over(w.orderBy("o", "m")))
+        small = small.select("c", "n", "m", "pos", *[F.max(self._last(s)).over(w).alias(f"w{i}") for i, s in enumerate(sims)])
+        self.tokens = written(small.unionByName(self._spread(written(big, "large"))), "tokens")
         mod = F.expr(f"shiftleft(1, cast(greatest(0, floor(log2(n / {CHUNK}))) as int))")
         parts = self.tokens.select("c", "n", "m", mod.alias("mod"), F.pmod(F.col("m"), mod).cast("int").alias("chunk"))
         self.chunks = written(parts.groupBy("c", "n", "mod", "chunk").agg(F.collect_list("m").alias("ms")), "chunks")
 
+    @staticmethod
+    def _last(s: float) -> Column:
+        return F.when(F.col("pos") <= _prefix(F.col("n"), s), F.col("o"))
+
+    def _spread(self, big: DataFrame) -> DataFrame:
+        """Positions in sets of more than ``LARGE`` members, whose members no task holds all: ranked by ranges, ranges by their sizes."""
+        ranged = written(big.repartitionByRange("c", "o", "m").withColumn("p", F.spark_partition_id()), "large-ranges")
+        local = ranged.withColumn("r", F.row_number().over(Window.partitionBy("c", "p").orderBy("o", "m")))
+        sizes = ranged.groupBy("c", "p").agg(F.count("*").alias("k"))
+        before = sizes.select("c", "p", F.coalesce(F.sum("k").over(Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        placed = written(local.join(before, ["c", "p"]).select("c", "n", "m", "o", (F.col("r") + F.col("before")).cast("int").alias("pos")), "large-places")
+        ends = placed.groupBy("c").agg(*[F.max(self._last(s)).alias(f"w{i}") for i, s in enumerate(self.sims)])
+        return placed.join(ends, "c").select("c", "n", "m", "pos", *[f"w{i}" for i in range(len(self.sims))])
+
     def meetings(self, left: DataFrame, right: DataFrame, sim: int) -> DataFrame:
         """Distinct (a, b), a from left and b from right, that may reach the similarity ``sims[sim]``.
 

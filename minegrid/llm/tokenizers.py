@@ -46,10 +46,7 @@ class Pieces:
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text; special tokens' names are ordinary text."""
-        known, out = self.known, []
-        for p in self.pattern.findall(text):
-            out.extend(known.get(p) or self.piece(p))
-        return out
+        return self.encoding.encode_ordinary(text)
 
 
 @lru_cache(2)

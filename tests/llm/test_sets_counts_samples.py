@@ -32,6 +32,7 @@ def some_sets(rng, n):
 def test_set_join_equals_brute_force(spark, monkeypatch, num, den, least, chunk):
     monkeypatch.setattr(S, "CHUNK", chunk)
     monkeypatch.setattr(S, "RATES", (4, 2))
+    monkeypatch.setattr(S, "LARGE", 8 if chunk < 5 else 1 << 17)
     sets = some_sets(random.Random(num * 10 + den), 50)
     rows = [(f"{r} ", f" m{m}", "x") for r, s in sets.items() for m in s] + [(None, "m1", None), ("r1", None, None), (" ", "m1", None), ("r1", "", None)]
     df = spark.createDataFrame(rows + rows[:20], "id string, m string, c string")

@@ -24,6 +24,15 @@ def test_seams_are_repaired_wherever_the_cuts_lie():
         assert E.join_chunks(p, [(c, *E.encode_chunk(p, c)) for c in parts if c]) == p.encode(t)
 
 
+def test_texts_with_some_chunks_known_equal_the_tokenizer():
+    p, rng = pieces(vocabulary_path()), random.Random(7)
+    for _ in range(2000):
+        t = text(rng, rng.randint(1, 60))
+        at = sorted({rng.randint(1, len(t)) for _ in range(rng.randint(0, 8))} | {len(t)})
+        known = {n: E.encode_chunk(p, t[i:j]) for n, (i, j) in enumerate(zip([0, *at], at)) if rng.random() < 0.5}
+        assert E.read_text(p, t, at, known) == p.encode(t) == [x for w in p.pattern.findall(t) for x in p.piece(w)]
+
+
 def test_cuts_depend_on_content_only():
     rng = random.Random(2)
     shared = "".join(rng.choice("abcdefgh ") for _ in range(6000))
@@ -67,6 +76,13 @@ def test_containers_hold_whole_texts_tightly(spark):
     assert K.pack(df.where("false")).count() == 0
 
 
+def test_texts_with_the_same_rare_terms_lie_side_by_side():
+    ranks = K.rarity_ranks(np.array([0, 1, 5, 2, 9]))
+    assert ranks.tolist() == [-1, -1, 1, 0, 2]
+    one, two = K.lexical_keys([np.array([1, 2, 4]), np.array([3, 4]), np.array([2, 4]), np.array([], int)], ranks)
+    assert one[0] == one[2] and two[0] == two[2] and one[1] < one[0] < one[3]
+
+
 def test_retrieval_prefers_lexical_neighbours():
     topics = [np.arange(10 * k, 10 * k + 10) for k in range(4)]
     size = np.array([600] * 4 + [300] * 12)
