@@ -92,6 +92,45 @@ def summaries_of(df: DataFrame, label: str = "label", features: str = "features"
     return {r[label]: Summary(r["n"], r["s"].toArray(), r["q"].toArray() ** 2) for r in g}
 
 
+IN_ORDER = 200_000  # points a chunk may have where they are assigned one after the other
+
+
+def assigned_in_order(points: DataFrame, ds: dict[int, Summary], cs: dict[int, Summary], limit: int = IN_ORDER) -> DataFrame:
+    """(index, features, d, c) with summaries updated after every point, in the order of the index: the sequential form.
+
+    Each point depends on those before it, so a chunk is one task's work and must not exceed ``limit`` points.
+    """
+    if points.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} points in a chunk; use smaller chunks or frozen summaries")
+    kind = points.schema["index"].dataType.simpleString()
+    start = [({i: (s.n, s.s, s.ss) for i, s in x.items()}) for x in (ds, cs)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("index", kind="stable").reset_index(drop=True)
+        sets = []
+        for x in start:
+            ids = sorted(x)
+            sets.append((ids, np.array([x[i][0] for i in ids], float), np.array([x[i][1] for i in ids], float), np.array([x[i][2] for i in ids], float)))
+        out = np.full((len(pdf), 2), -1, np.int64)
+        for r, f in enumerate(pdf["features"]):
+            p = np.asarray(f, float)
+            for side, (ids, n, s, ss) in enumerate(sets):
+                if not ids:
+                    continue
+                centre = s / n[:, None]
+                d = mahalanobis(p[None, :], centre, np.maximum(ss / n[:, None] - centre**2, 0.0))[0]
+                k = int(d.argmin())
+                if d[k] <= 2 * math.sqrt(len(p)):
+                    out[r, side] = ids[k]
+                    n[k] += 1
+                    s[k] += p
+                    ss[k] += p * p
+                    break
+        return pdf.assign(d=out[:, 0], c=out[:, 1])[["index", "features", "d", "c"]]
+
+    return points.groupBy().applyInPandas(run, f"index {kind}, features array<double>, d bigint, c bigint")
+
+
 def _kmeans(df: DataFrame, k: int, seed: int) -> DataFrame:
     """Adds ``label``; asks for no more clusters than there are points."""
     from pyspark.ml.clustering import KMeans
@@ -108,12 +147,12 @@ class BFR:
     """Chunk by chunk: the discard set (k summaries), compression sets (summaries) and retained points (a table).
 
     Summaries are frozen while a chunk is assigned and updated after it, so a chunk is assigned in parallel; an update
-    after every single point would be sequential and differs slightly. Merging adds summaries; points that leave the
+    after every single point is sequential and differs slightly (``in_order``, for chunks of bounded size). Merging adds summaries; points that leave the
     retained set move, and no point is ever counted twice.
     """
 
-    def __init__(self, k: int, seed: int = 0) -> None:
-        self.k, self.seed = k, seed
+    def __init__(self, k: int, seed: int = 0, in_order: bool = False) -> None:
+        self.k, self.seed, self.in_order = k, seed, in_order
         self.ds: dict[int, Summary] = {}
         self.cs: dict[int, Summary] = {}
         self.rs: DataFrame | None = None
@@ -159,9 +198,12 @@ class BFR:
 
     def add(self, chunk: DataFrame, last: bool = False) -> None:
         pts = chunk.select("index", "features")
-        a = nearest_cluster(pts, "index", "features", sorted(self.ds.items())).select("index", F.col("cluster").alias("d"))
-        c = nearest_cluster(pts, "index", "features", sorted(self.cs.items())).select("index", F.col("cluster").alias("c"))
-        got = written(pts.join(a, "index").join(c, "index"), "assigned")
+        if self.in_order:
+            got = written(assigned_in_order(pts, self.ds, self.cs), "assigned")
+        else:
+            a = nearest_cluster(pts, "index", "features", sorted(self.ds.items())).select("index", F.col("cluster").alias("d"))
+            c = nearest_cluster(pts, "index", "features", sorted(self.cs.items())).select("index", F.col("cluster").alias("c"))
+            got = written(pts.join(a, "index").join(c, "index"), "assigned")
         for label, s in summaries_of(got.where("d >= 0").select(F.col("d").alias("label"), "features")).items():
             self.ds[label] = self.ds[label].plus(s)
         for label, s in summaries_of(got.where("d < 0 and c >= 0").select(F.col("c").alias("label"), "features")).items():
@@ -220,10 +262,10 @@ class BFR:
         return spark.createDataFrame(self.rounds, "round int, ds_points bigint, cs_clusters bigint, cs_points bigint, rs_points bigint")
 
 
-def bfr(df: DataFrame, index: str, features: str, k: int, parts: int = 5, seed: int = 0) -> BFR:
+def bfr(df: DataFrame, index: str, features: str, k: int, parts: int = 5, seed: int = 0, in_order: bool = False) -> BFR:
     """Runs all hash buckets of ``df`` through one BFR; rows with a null index or null features are left out."""
     pts = written(hash_split(df.where(F.col(index).isNotNull() & F.col(features).isNotNull()), index, parts).select(F.col(index).alias("index"), F.col(features).cast("array<double>").alias("features"), "bucket"), "points")
-    b = BFR(k, seed)
+    b = BFR(k, seed, in_order)
     b.start(pts.where("bucket = 0").drop("bucket"))
     for n in range(1, parts):
         b.add(pts.where(F.col("bucket") == n).drop("bucket"), last=n == parts - 1)

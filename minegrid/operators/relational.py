@@ -14,8 +14,12 @@ def word_count(df: DataFrame, text: str, delimiter: str = " ") -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, **cols: Column) -> DataFrame:
-    """One row of distinct counts, nulls ignored."""
-    return df.agg(*[F.count_distinct(c).alias(k) for k, c in cols.items()])
+    """One row of distinct counts, nulls ignored. Each column is read and shuffled by itself; several in one aggregate would multiply the rows."""
+    out = None
+    for k, c in cols.items():
+        one = df.select(c.alias("x")).where("x is not null").distinct().agg(F.count("*").alias(k))
+        out = one if out is None else out.join(F.broadcast(one))  # one row each
+    return out
 
 
 def top_k(df: DataFrame, key: str, k: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_family, linear_hash
@@ -45,9 +45,12 @@ def lsh_candidates(signatures: DataFrame, rows_per_band: int = 2) -> DataFrame:
 
 def verified(pairs: DataFrame, rows: DataFrame, sizes: DataFrame, threshold: float = 0.5, places: int = 6) -> DataFrame:
     """(a, b, similarity) of the pairs whose exact Jaccard reaches the threshold."""
-    both = pairs.join(rows.select(F.col("record").alias("a"), "member"), "a").join(rows.select(F.col("record").alias("b"), "member"), ["b", "member"])
-    inter = both.groupBy("a", "b").agg(F.count("*").alias("i"))
     sa, sb = sizes.select(F.col("record").alias("a"), F.col("size").alias("na")), sizes.select(F.col("record").alias("b"), F.col("size").alias("nb"))
+    # the smaller set brings its members, so a huge one isn't copied for each of its partners
+    first = F.col("na") <= F.col("nb")
+    p = pairs.join(sa, "a").join(sb, "b").select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("l"))
+    both = p.join(rows.select(F.col("record").alias("s"), "member"), "s").join(rows.select(F.col("record").alias("l"), "member"), ["l", "member"])
+    inter = both.groupBy("a", "b").agg(F.count("*").alias("i"))
     j = inter.join(sa, "a").join(sb, "b").withColumn("s", F.col("i") / (F.col("na") + F.col("nb") - F.col("i")))
     return j.where(F.col("s") >= threshold).select("a", "b", F.round("s", places).alias("similarity"))
 
@@ -58,3 +61,20 @@ def lsh_similar(df: DataFrame, record: str, member: str, threshold: float = 0.5,
     reps = written(set_classes(rows).where("record = rep").select("record", "size"), "reps")
     own = written(rows.join(reps.select("record"), "record", "left_semi"), "rep-rows")
     return verified(lsh_candidates(minhash_signatures(own, hashes, seed), rows_per_band), own, reps, threshold)
+
+
+def exact_similar(rows: DataFrame, sizes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(a, b, similarity), a < b, of all records whose Jaccard reaches the threshold: the yardstick for the banded join.
+
+    Two such sets share one of the first size - ceil(t size) + 1 members of each, rare ones first, and sizes within t of
+    each other; what meets there is verified. Rows with more meetings than that are never made.
+    """
+    freq = rows.groupBy("member").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("record").orderBy("f", "member")
+    cut = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
+    pre = rows.join(freq, "member").join(sizes, "record").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= cut)
+    pre = written(pre.select("record", "member", "size"), "prefixes")
+    l, r = pre.select(F.col("record").alias("a"), "member", F.col("size").alias("na")), pre.select(F.col("record").alias("b"), "member", F.col("size").alias("nb"))
+    near = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
+    met = l.join(r, "member").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return verified(met, rows, sizes, threshold)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SCORED_ATTRIBUTES, hash_family
+from ..operators import boosting as B
 from ..operators import clustering as C
 from ..operators import graph as G
 from ..operators import itemsets as I
@@ -379,59 +380,70 @@ _COMPLIMENTS = " + ".join(f"coalesce(compliment_{c}, 0)" for c in ("hot", "more"
 _USERS = f"""uf AS (SELECT u, max_by(f, o) AS f FROM (SELECT {_key('user_id')} AS u, arrival_no AS o, struct_pack(a := CAST(review_count AS DOUBLE), b := CAST(fans AS DOUBLE), c := average_stars,
     d := CAST(CASE WHEN friends IS NULL THEN 0 ELSE len(string_split(friends, ',')) END AS DOUBLE), e := CAST(coalesce(useful, 0) + coalesce(funny, 0) + coalesce(cool, 0) AS DOUBLE),
     f := CAST(2023 - TRY_CAST(substr(yelping_since, 1, 4) AS INTEGER) AS DOUBLE), g := CAST(CASE WHEN elite IS NULL THEN 0 ELSE len(string_split(elite, ',')) END AS DOUBLE), h := CAST({_COMPLIMENTS} AS DOUBLE)) AS f
-    FROM yelp_user) WHERE u IS NOT NULL GROUP BY 1), uv AS (SELECT u, var_pop(s) AS v FROM r GROUP BY 1),
-    ux AS (SELECT uf.u, f.a, f.b, f.c, f.d, f.e, f.f, f.g, f.h, coalesce(v, 0.0) AS v FROM uf LEFT JOIN uv USING (u))"""
+    FROM yelp_user) WHERE u IS NOT NULL GROUP BY 1), uv AS (SELECT u, var_pop(s) AS v FROM r GROUP BY 1), ul AS (SELECT {_key('user_id')} AS u, CAST(count(*) AS DOUBLE) AS k FROM yelp_train GROUP BY 1),
+    ux AS (SELECT uf.u, f.a, f.b, f.c, f.d, f.e, f.f, f.g, f.h, coalesce(v, 0.0) AS v, coalesce(k, 0.0) AS k FROM uf LEFT JOIN uv USING (u) LEFT JOIN ul USING (u))"""
 
 
 @_query(
-    f"""WITH {_RATED}, {_USERS} SELECT u AS user, a AS user_reviews, b AS fans, c AS user_stars, d AS friends, e AS social, f AS years, g AS elite, h AS compliments, round(v + 1e-9, 6) AS user_var, 0.0 AS user_likes FROM ux"""
+    f"""WITH {_RATED}, {_USERS} SELECT u AS user, a AS user_reviews, b AS fans, c AS user_stars, d AS friends, e AS social, f AS years, g AS elite, h AS compliments, round(v + 1e-9, 6) AS user_var, k AS user_likes FROM ux"""
 )
 def user_features(spark: SparkSession, d: str) -> DataFrame:
-    return R.user_features(table(spark, d, "yelp_user"), "arrival_no", _split(spark, d)[0]).withColumn("user_var", F.round(F.col("user_var") + 1e-9, 6))
+    return _user_side(spark, d, _split(spark, d)[0]).withColumn("user_var", F.round(F.col("user_var") + 1e-9, 6))
 
 
-@_query(
-    f"""WITH {_RATED}, {_USERS}, mm AS (SELECT avg(a) a, avg(b) b, avg(c) c, avg(d) d, avg(e) e FROM ux)
-    SELECT e.u AS user, e.i AS item, e.s AS stars, round(coalesce(x.a, mm.a, 0), 5) AS user_reviews, round(coalesce(x.b, mm.b, 0), 5) AS fans, round(coalesce(x.c, mm.c, 0), 5) AS user_stars,
-    round(coalesce(x.d, mm.d, 0), 5) AS friends, round(coalesce(x.e, mm.e, 0), 5) AS social, coalesce(x.f, 0.0) AS years, coalesce(x.g, 0.0) AS elite, coalesce(x.h, 0.0) AS compliments,
-    round(coalesce(x.v, 0.0) + 1e-9, 5) AS user_var FROM e LEFT JOIN ux x ON x.u = e.u, mm"""
-)
-def feature_assembly(spark: SparkSession, d: str) -> DataFrame:
-    """Test ratings with the features of their users and cold-start defaults."""
-    train, test = _split(spark, d)
-    u = R.user_features(table(spark, d, "yelp_user"), "arrival_no", train).drop("user_likes")
-    out = R.assemble(test, u, train.select("item").distinct())
-    out = out.withColumn("user_var", F.col("user_var") + 1e-9)  # off the rounding ties of small groups, as in the SQL
-    return out.select(*[F.round(c, 5).alias(c) if c in ("user_reviews", "fans", "user_stars", "friends", "social", "user_var") else c for c in out.columns])
+_SCORE = " + ".join(f"CASE WHEN f.m['{k}'] IS NOT NULL AND f.m['{k}'] <> 'False' THEN 1 ELSE 0 END" for k in SCORED_ATTRIBUTES)
+_ITEMS = f"""bf AS (SELECT i, arg_max(f, o) AS f FROM (SELECT {_key('business_id')} AS i, coalesce(listed_at, TIMESTAMP '1900-01-01') AS o, struct_pack(s := stars, n := review_count, m := attributes) AS f FROM business) WHERE i IS NOT NULL GROUP BY 1),
+    bv AS (SELECT i, var_pop(s) AS v FROM r GROUP BY 1), tp AS (SELECT {_key('business_id')} AS i, count(*) AS n, count(*) FILTER (source IS DISTINCT FROM 'menu') AS p FROM documents GROUP BY 1),
+    sl AS (SELECT {_key('business_id')} AS i, count(DISTINCT strftime(rated_at, '%w-%H')) AS n FROM yelp_train GROUP BY 1),
+    bx AS (SELECT bf.i AS i, f.s AS a, CAST(f.n AS DOUBLE) AS b, coalesce(TRY_CAST(f.m['RestaurantsPriceRange2'] AS DOUBLE), 0.0) AS c, CAST({_SCORE} AS DOUBLE) AS d, coalesce(v, 0.0) AS e,
+    coalesce(CAST(tp.p AS DOUBLE), 0.0) AS f, coalesce(CAST(sl.n AS DOUBLE), 0.0) AS g, coalesce(CAST(tp.n AS DOUBLE), 0.0) AS h FROM bf LEFT JOIN bv USING (i) LEFT JOIN tp USING (i) LEFT JOIN sl USING (i))"""
 
 
-_SCORE = " + ".join(f"CASE WHEN f.m['{k}'] IS NOT NULL AND f.m['{k}'] <> 'False' THEN 1 ELSE 0 END" for k in SCORED_ATTRIBUTES)
+def _user_side(spark: SparkSession, d: str, train: DataFrame) -> DataFrame:
+    """User features; each delivery of a rating counts as a tip liked once."""
+    return R.user_features(table(spark, d, "yelp_user"), "arrival_no", train, table(spark, d, "yelp_train").select("user_id", F.lit(1).alias("likes")))
+
+
+def _item_side(spark: SparkSession, d: str, train: DataFrame) -> DataFrame:
+    """Business features: texts count as tips and, by source, as photos; the hours of the week in which ratings came as check-in slots."""
+    docs, t = table(spark, d, "documents"), table(spark, d, "yelp_train")
+    hours = t.where("rated_at is not null").select("business_id", F.concat_ws("-", F.dayofweek("rated_at"), F.hour("rated_at")).alias("hour"))
+    checkins = hours.groupBy(clean_key("business_id").alias("business_id")).agg(F.collect_set("hour").alias("time"))  # at most 168
+    return R.business_features(table(spark, d, "business"), "listed_at", train, docs.select("business_id", F.col("source").alias("label")), checkins, docs.select("business_id", F.lit(1).alias("likes")))
+
+
+@_query(f"WITH {_RATED}, {_ITEMS} SELECT i AS item, a AS item_stars, b AS item_reviews, c AS price, d AS score, round(e + 1e-9, 6) AS item_var, f AS photos, g AS slots, h AS item_likes FROM bx")
+def business_features(spark: SparkSession, d: str) -> DataFrame:
+    return _item_side(spark, d, _split(spark, d)[0]).withColumn("item_var", F.round(F.col("item_var") + 1e-9, 6))
 
 
 @_query(
-    f"""WITH {_RATED}, bf AS (SELECT i, arg_max(f, o) AS f FROM (SELECT {_key('business_id')} AS i, coalesce(listed_at, TIMESTAMP '1900-01-01') AS o, struct_pack(s := stars, n := review_count, m := attributes) AS f FROM business) WHERE i IS NOT NULL GROUP BY 1),
-    bv AS (SELECT i, var_pop(s) AS v FROM r GROUP BY 1), tp AS (SELECT {_key('business_id')} AS i, count(*) AS n FROM documents GROUP BY 1)
-    SELECT bf.i AS item, f.s AS item_stars, CAST(f.n AS DOUBLE) AS item_reviews, coalesce(TRY_CAST(f.m['RestaurantsPriceRange2'] AS DOUBLE), 0.0) AS price, CAST({_SCORE} AS DOUBLE) AS score,
-    round(coalesce(v, 0.0) + 1e-9, 6) AS item_var, 0.0 AS photos, 0.0 AS slots, coalesce(CAST(tp.n AS DOUBLE), 0.0) AS item_likes FROM bf LEFT JOIN bv USING (i) LEFT JOIN tp USING (i)"""
+    f"""WITH {_RATED}, {_USERS}, {_ITEMS}, mu AS (SELECT avg(a) a, avg(b) b, avg(c) c, avg(d) d, avg(e) e FROM ux), mi AS (SELECT avg(a) a, avg(b) b, avg(c) c FROM bx)
+    SELECT e.u AS user, e.i AS item, e.s AS stars, round(coalesce(x.a, mu.a, 0), 5) AS user_reviews, round(coalesce(x.b, mu.b, 0), 5) AS fans, round(coalesce(x.c, mu.c, 0), 5) AS user_stars,
+    round(coalesce(x.d, mu.d, 0), 5) AS friends, round(coalesce(x.e, mu.e, 0), 5) AS social, coalesce(x.f, 0.0) AS years, coalesce(x.g, 0.0) AS elite, coalesce(x.h, 0.0) AS compliments,
+    round(coalesce(x.v, 0.0) + 1e-9, 5) AS user_var, coalesce(x.k, 0.0) AS user_likes, round(coalesce(y.a, mi.a, 0), 5) AS item_stars, round(coalesce(y.b, mi.b, 0), 5) AS item_reviews, round(coalesce(y.c, mi.c, 0), 5) AS price,
+    coalesce(y.d, 0.0) AS score, round(coalesce(y.e, 0.0) + 1e-9, 5) AS item_var, coalesce(y.f, 0.0) AS photos, coalesce(y.g, 0.0) AS slots, coalesce(y.h, 0.0) AS item_likes
+    FROM e LEFT JOIN ux x ON x.u = e.u LEFT JOIN bx y ON y.i = e.i, mu, mi"""
 )
-def business_features(spark: SparkSession, d: str) -> DataFrame:
-    tips = table(spark, d, "documents").select("business_id", F.lit(1).alias("likes"))
-    b = R.business_features(table(spark, d, "business"), "listed_at", _split(spark, d)[0], tips=tips)
-    return b.withColumn("item_var", F.round(F.col("item_var") + 1e-9, 6))
+def feature_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """Test ratings with the features of their users and items and cold-start defaults."""
+    train, test = _split(spark, d)
+    out = R.assemble(test, _user_side(spark, d, train), _item_side(spark, d, train))
+    out = out.withColumns({c: F.col(c) + 1e-9 for c in ("user_var", "item_var")})  # off the rounding ties of small groups, as in the SQL
+    return out.select(*[F.round(c, 5).alias(c) if c in (*R.MEAN_DEFAULTS, "user_var", "item_var") else c for c in out.columns])
 
 
 def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
     train, test = _split(spark, d)
-    u = written(R.user_features(table(spark, d, "yelp_user"), "arrival_no", train), "user-features")
-    tips = table(spark, d, "documents").select("business_id", F.lit(1).alias("likes"))
-    b = written(R.business_features(table(spark, d, "business"), "listed_at", train, tips=tips), "business-features")
+    u, b = written(_user_side(spark, d, train), "user-features"), written(_item_side(spark, d, train), "business-features")
     a, e = (written(R.assemble(x, u, b), "assembled") for x in (train, test))
-    return a, e, [c for c in a.columns if c not in (*R.NOT_FEATURES, "price", "item_var", "user_var")]
+    return a, e, [c for c in a.columns if c not in (*R.NOT_FEATURES, "item_var", "user_var")]  # the spreads hold the label
 
 
 def _trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """200 trees of depth 7 on 0.4 of the columns each."""
     a, e, f = _features(spark, d)
-    return R.predict_trees(R.fit_trees(a, f, rounds=10), e), e
+    return written(B.predict(B.fit(a, f), e, f), "tree-predictions"), e
 
 
 @_query()
@@ -450,21 +462,35 @@ def blend_search(spark: SparkSession, d: str) -> DataFrame:
     return R.search_blend(m, R.item_cf(*_split(spark, d)), truth)
 
 
+@_query()
+def model_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Root mean squared error on the later ratings: of the mean of the earlier ones, the item neighbourhoods, the trees and their blend."""
+    m, truth = _trees(spark, d)
+    train, test = _split(spark, d)
+    items = written(R.item_cf(train, test), "item-predictions")
+    flat = test.select("user", "item").join(F.broadcast(train.agg(F.avg("stars").alias("prediction"))))  # one row
+    out = None
+    for name, p in (("mean", flat), ("items", items), ("trees", m), ("blend", R.blend(m, items))):
+        e = rel.rmse(p.join(truth.select("user", "item", "stars"), ["user", "item"]), "prediction", "stars").select(F.lit(name).alias("model"), "rmse", "n")
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
 # ---- graphs -----------------------------------------------------------------------------------------------------
 
-_BOUGHT = "c AS (SELECT DISTINCT o_custkey AS n, l_partkey AS i FROM orders JOIN lineitem ON l_orderkey = o_orderkey), ed AS (SELECT x.n AS u, y.n AS v, count(*) AS common FROM c x JOIN c y ON x.i = y.i AND x.n < y.n GROUP BY 1, 2 HAVING count(*) >= {k})"
+#: One graph for all graph queries: businesses that at least so many users have in common. It doesn't thin out as data grow.
+COMMON = 12
+_GRAPH = f"{_SMALL}, ed AS (SELECT x.i AS u, y.i AS v, count(*) AS common FROM b x JOIN b y ON x.u = y.u AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= {COMMON})"
 _SYM = "sy AS (SELECT u AS s, v AS t FROM ed UNION ALL SELECT v, u FROM ed)"
 
 
-def _edges(spark: SparkSession, d: str, k: int) -> DataFrame:
-    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    rows = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.col("o_custkey").alias("n"), F.col("l_partkey").alias("i"))
-    return written(G.cooccurrence_edges(rows, "n", "i", k), "edges")
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return written(G.cooccurrence_edges(_rows(spark, d), "item", "basket", COMMON), "edges")
 
 
-@_query(f"WITH {_BOUGHT.format(k=5)} SELECT u, v, common FROM ed")
+@_query(f"WITH {_GRAPH} SELECT u, v, common FROM ed")
 def cooccurrence_graph(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(spark, d, 5)
+    return _edges(spark, d)
 
 
 def _lpa(rounds: int) -> str:
@@ -474,72 +500,48 @@ def _lpa(rounds: int) -> str:
     return out
 
 
-@_query(f"WITH {_BOUGHT.format(k=6)}, {_SYM}, {_lpa(5)} SELECT id, label FROM l5")
+@_query(f"WITH {_GRAPH}, {_SYM}, {_lpa(5)} SELECT id, label FROM l5")
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
-    return G.label_propagation(_edges(spark, d, 6))
+    return G.label_propagation(_edges(spark, d))
 
 
-@_query(f"WITH {_BOUGHT.format(k=6)}, {_SYM}, {_lpa(5)} SELECT string_agg(id, ' ' ORDER BY id) AS members, count(*) AS size FROM l5 GROUP BY label")
+@_query(f"WITH {_GRAPH}, {_SYM}, {_lpa(5)} SELECT string_agg(id, ' ' ORDER BY id) AS members, count(*) AS size FROM l5 GROUP BY label")
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    c = G.communities(G.label_propagation(_edges(spark, d, 6)))
-    return c.select(F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members"), "size")
+    c = G.communities(G.label_propagation(_edges(spark, d)))
+    return c.select(F.array_join("members", " ").alias("members"), "size")
 
 
-@_query(f"WITH RECURSIVE {_BOUGHT.format(k=7)}, {_SYM}, w AS (SELECT DISTINCT s AS id, s AS c FROM sy UNION SELECT t, c FROM w JOIN sy ON w.id = sy.s) SELECT id, min(c) AS component FROM w GROUP BY 1")
+@_query(f"WITH RECURSIVE {_GRAPH}, {_SYM}, w AS (SELECT DISTINCT s AS id, s AS c FROM sy UNION SELECT t, c FROM w JOIN sy ON w.id = sy.s) SELECT id, min(c) AS component FROM w GROUP BY 1")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return G.connected_components(_edges(spark, d, 7))
+    return G.connected_components(_edges(spark, d))
 
 
 @_query(
-    f"""WITH {_BOUGHT.format(k=6)}, {_SYM}, {_lpa(5)}, m AS (SELECT 2.0 * count(*) AS m FROM ed), dg AS (SELECT s AS id, count(*) AS k FROM sy GROUP BY 1), a AS (SELECT label, sum(k) AS d FROM l5 JOIN dg USING (id) GROUP BY 1),
+    f"""WITH {_GRAPH}, {_SYM}, {_lpa(5)}, m AS (SELECT 2.0 * count(*) AS m FROM ed), dg AS (SELECT s AS id, count(*) AS k FROM sy GROUP BY 1), a AS (SELECT label, sum(k) AS d FROM l5 JOIN dg USING (id) GROUP BY 1),
     n AS (SELECT x.label, count(*) AS i FROM ed JOIN l5 x ON x.id = u JOIN l5 y ON y.id = v AND y.label = x.label GROUP BY 1)
     SELECT a.label, round((2 * coalesce(i, 0) - d * d / m) / m, 9) AS share FROM a LEFT JOIN n USING (label), m"""
 )
 def modularity(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d, 6)
+    e = _edges(spark, d)
     return G.modularity(e, G.label_propagation(e))
 
 
-#: Common parts that make an edge of the shared graph. Customers and parts grow alike, so the number of pairs with two
-#: common parts stays about the same as data grow; with three or more it falls.
-SHARED_K = 2
-
-
-@_query(f"WITH {_BOUGHT.format(k=SHARED_K)} SELECT u, v, common FROM ed")
-def shared_graph(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(spark, d, SHARED_K)
-
-
-@_query(f"WITH {_BOUGHT.format(k=SHARED_K)}, {_SYM}, {_lpa(5)} SELECT id, label FROM l5")
-def shared_label_propagation(spark: SparkSession, d: str) -> DataFrame:
-    return G.label_propagation(_edges(spark, d, SHARED_K))
-
-
-@_query(f"WITH {_BOUGHT.format(k=SHARED_K)}, {_SYM}, {_lpa(5)} SELECT string_agg(id, ' ' ORDER BY id) AS members, count(*) AS size FROM l5 GROUP BY label")
-def shared_communities(spark: SparkSession, d: str) -> DataFrame:
-    c = G.communities(G.label_propagation(_edges(spark, d, SHARED_K)))
-    return c.select(F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members"), "size")
-
+# distances as the least length of a walk (walks of one length are kept once), then shortest paths counted level by level
+_PATHS = """wk AS (SELECT DISTINCT s AS r, s AS n, 0 AS d FROM sy UNION SELECT r, t, d + 1 FROM wk JOIN sy ON s = n WHERE d < 40), ds AS (SELECT r, n, min(d) AS d FROM wk GROUP BY 1, 2),
+    sg AS (SELECT r, n, d, 1.0::DOUBLE AS p FROM ds WHERE d = 0 UNION ALL SELECT sg.r, ds.n, ds.d, sum(sg.p) FROM sg JOIN sy ON s = sg.n JOIN ds ON ds.r = sg.r AND ds.n = t AND ds.d = sg.d + 1 GROUP BY 1, 2, 3)"""
 
-@_query()
-def shared_components(spark: SparkSession, d: str) -> DataFrame:
-    return G.connected_components(_edges(spark, d, SHARED_K))
-
-
-@_query()
-def shared_modularity(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d, SHARED_K)
-    return G.modularity(e, G.label_propagation(e))
 
-
-@_query()
+@_query(
+    f"""WITH RECURSIVE {_GRAPH}, {_SYM}, {_PATHS} SELECT least(s, t) AS u, greatest(s, t) AS v, round(sum(x.p * y.p / z.p) / 2, 4) AS betweenness
+    FROM sy JOIN sg x ON x.n = s JOIN sg y ON y.n = t JOIN sg z ON z.r = x.r AND z.n = y.r AND z.d = x.d + 1 + y.d GROUP BY 1, 2"""
+)
 def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return G.edge_betweenness(_edges(spark, d, SHARED_K))
+    return G.edge_betweenness(_edges(spark, d)).withColumn("betweenness", F.round("betweenness", 4))
 
 
 @_query()
 def girvan_newman(spark: SparkSession, d: str) -> DataFrame:
-    return G.girvan_newman(_edges(spark, d, SHARED_K))
+    return G.girvan_newman(_edges(spark, d))
 
 
 # ---- streams ----------------------------------------------------------------------------------------------------

@@ -13,6 +13,7 @@ def _schema(**cols: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in cols.items()])
 
 
+# The field names of the files
 _COMPLIMENTS = ("hot", "more", "profile", "cute", "list", "note", "plain", "cool", "funny", "writer", "photos")
 SCHEMAS: dict[str, T.StructType] = {
     "review": _schema(review_id=_S, user_id=_S, business_id=_S, stars=_D, useful=_L, funny=_L, cool=_L, text=_S, date=_S),

@@ -25,7 +25,7 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
 
 
 class LiveBloom:
-    """Bloom filter over a stream: bits and keys of past batches lie in parquet, one folder per micro-batch (writing it again is harmless)."""
+    """Bloom filter over a stream. Every micro-batch writes all bits set so far (at most ``bits`` rows) and its own new keys; writing it again is harmless."""
 
     def __init__(self, spark: SparkSession, key: str, hashes: int = 10, bits: int = BITS, seed: int = 1) -> None:
         self.spark, self.key, self.bits, self.family = spark, key, bits, hash_family(hashes, PRIME, seed)
@@ -41,8 +41,11 @@ class LiveBloom:
         x = number_of(F.col("key"))
         keys = df.where(F.col(self.key).isNotNull()).groupBy(F.col(self.key).cast("string").alias("key")).agg(F.count("*").alias("n"))
         keys = keys.withColumn("hs", F.array_distinct(F.array(*[linear_hash(x, a, b, PRIME, self.bits) for a, b in self.family])))
-        bits = self._past("bits", "bit bigint", batch).distinct().withColumn("set", F.lit(True))
-        seen = self._past("keys", "key string", batch).distinct().withColumn("seen", F.lit(True))
+        before = [b for b in self.done if b < batch]
+        known = self.spark.read.schema("bit bigint").parquet(f"{self.path}/bits/{max(before)}") if before else self.spark.createDataFrame([], "bit bigint")
+        bits = known.withColumn("set", F.lit(True))
+        # keys are kept only to tell false positives from true ones; a key is written by the first batch that has it
+        seen = self._past("keys", "key string", batch).withColumn("seen", F.lit(True))
         asked = keys.select("key", "n", F.explode("hs").alias("bit")).join(bits, "bit", "left").groupBy("key", "n").agg(F.min(F.coalesce("set", F.lit(False))).alias("positive"))
         s = asked.join(seen, "key", "left").agg(
             F.coalesce(F.sum(F.when(F.col("positive") & F.col("seen").isNull(), F.col("n"))), F.lit(0)).alias("fp"),
@@ -50,8 +53,8 @@ class LiveBloom:
         ).first()
         fpr = s["fp"] / (s["fp"] + s["negatives"]) if s["fp"] + s["negatives"] else 0.0
         self.results[batch] = (s["fp"], s["negatives"], fpr)
-        keys.select(F.explode("hs").alias("bit")).distinct().write.mode("overwrite").parquet(f"{self.path}/bits/{batch}")
-        keys.select("key").write.mode("overwrite").parquet(f"{self.path}/keys/{batch}")
+        keys.select(F.explode("hs").alias("bit")).union(known).distinct().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/bits/{batch}")
+        keys.join(seen, "key", "left_anti").select("key").write.mode("overwrite").parquet(f"{self.path}/keys/{batch}")
         self.done.add(batch)
 
 

@@ -65,16 +65,24 @@ def reservoir_snapshots(stream: DataFrame, key: str, size: int = 100, shown: Seq
     """(batch, seq, slot_…): the reservoir after every batch, at the shown slots.
 
     Rows 1 to ``size`` fill the slots in order; row n enters with probability size / n and overwrites a uniform slot.
-    Both draws are digests of n, so a slot's content is its last accepted row: one aggregation and a running
-    maximum per shown slot, in place of a sequential pass.
+    Both draws are digests of n, so a slot's content is its last accepted row: the accepted rows of a slot, few as they
+    are, cut the batches into spans, in place of a sequential pass.
     """
     n = F.col("seq")
     takes = (n <= size) | (digest_number(f"{tag}a", n).cast("decimal(18,0)") * n.cast("decimal(19,0)") < F.lit(size << 48).cast("decimal(38,0)"))
     slot = F.when(n <= size, n - 1).otherwise(F.pmod(digest_number(f"{tag}b", n), F.lit(size)))
     s = stream.select("batch", "seq", F.col(key).alias("key")).withColumn("slot", F.when(takes, slot))
-    ends = s.groupBy("batch").agg(F.max("seq").alias("end"), *[F.max(F.when(F.col("slot") == k, F.struct("seq", "key"))).alias(f"s{k}") for k in shown])
-    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # one row per batch
-    return ends.select("batch", F.col("end").alias("seq"), *[F.max(f"s{k}").over(w)["key"].alias(f"slot_{k}") for k in shown])
+    # a slot's last row up to a batch: rows that overwrite it later are found by rank within the slot, and only the
+    # accepted rows of shown slots (about size ln(n / size) / size each) take part
+    taken = s.where(F.col("slot").isin(*shown))
+    nth = Window.partitionBy("slot").orderBy("seq")
+    spans = written(taken.select("slot", "key", "batch", F.lead("batch").over(nth).alias("until")), "slots")
+    ends = s.groupBy("batch").agg(F.max("seq").alias("end"))
+    out = ends
+    for k in shown:
+        own = F.broadcast(spans.where((F.col("slot") == k) & (F.col("until").isNull() | (F.col("until") > F.col("batch")))).select(F.col("batch").alias(f"from{k}"), F.col("until").alias(f"until{k}"), F.col("key").alias(f"slot_{k}")))  # logarithmic in the stream's length
+        out = out.join(own, (F.col("batch") >= F.col(f"from{k}")) & (F.col(f"until{k}").isNull() | (F.col("batch") < F.col(f"until{k}"))), "left").drop(f"from{k}", f"until{k}")
+    return out.select("batch", F.col("end").alias("seq"), *[f"slot_{k}" for k in shown])
 
 
 def drawn_with_replacement(source: DataFrame, value: str, size: int, batches_: int, tag: str = "d1") -> DataFrame:

@@ -7,6 +7,7 @@ import io
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,11 +31,14 @@ def clean_key(col: Column | str) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Only where that is unset and the master is local (tests on one machine) a temporary folder is made and set; on a
+    cluster an unset folder is an error, as executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_minegrid_shared", None)
     if not at:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="minegrid-")
         sc._minegrid_shared = at
         sc.setCheckpointDir(at)
@@ -44,6 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[tuple[SparkSession, str]] = []
 
 
+@contextmanager
+def scope():
+    """What is written below the shared folder within the block is removed at its end; results must have been read or stored by then."""
+    before = {path for _, path in _made}
+    try:
+        yield
+    finally:
+        for spark, path in [x for x in _made if x[1] not in before and not x[1].endswith(".zip")]:
+            remove_dir(spark, path)
+            _made.remove((spark, path))
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; what is written there is removed when the program ends."""
     path = f"{shared_dir(spark)}/minegrid-{name}-{uuid.uuid4().hex[:12]}"
@@ -89,7 +105,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    path = f"{new_dir(spark, 'package')}.zip"
+    path = f"{shared_dir(spark)}/minegrid-package-{uuid.uuid4().hex[:12]}.zip"
     _made.append((spark, path))
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p)

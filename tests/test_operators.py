@@ -119,6 +119,24 @@ def brute_betweenness(edges):
     return {e: round(x, 5) for e, x in out.items()}
 
 
+def brute_split(edges):
+    """Cut the edges of greatest betweenness until none is left; the parts with the best modularity."""
+    nodes, m = sorted({x for e in edges for x in e}), len(edges)
+    degree = {x: sum(x in e for e in edges) for x in nodes}
+    left, best, best_q = list(edges), None, -1.0
+    while left:
+        b = brute_betweenness(left)
+        left = [e for e in left if b[e] < max(b.values())]
+        part = {x: x for x in nodes}
+        for _ in nodes:
+            for u, v in left:
+                part[u] = part[v] = min(part[u], part[v])
+        q = sum(((u, v) in edges or (v, u) in edges) / (2 * m) - degree[u] * degree[v] / (4 * m * m) for u in nodes for v in nodes if part[u] == part[v])
+        if q > best_q + 1e-9:
+            best, best_q = part, q
+    return best, best_q
+
+
 def test_graph_against_brute_force(spark):
     rng = random.Random(3)
     edges = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(20)} | {(20, 21), (21, 22)})
@@ -129,9 +147,10 @@ def test_graph_against_brute_force(spark):
         assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 2e-5 for e in want)
     comp = {r.id: r.component for r in G.connected_components(df).collect()}
     assert comp[22] == 20 and all(comp[u] == comp[v] for u, v in edges)
-    gn = G.girvan_newman(df)
-    lab = gn.collect()
-    assert {r.id for r in lab} == {x for e in edges for x in e} and all(r.modularity <= 1 for r in lab)
+    want_part, want_q = brute_split(edges)
+    for limit in (1000, 0):  # in one task, by a job a round
+        lab = G.girvan_newman(df, local_edges=limit).collect()
+        assert {r.id: r.label for r in lab} == want_part and all(r.modularity == pytest.approx(want_q, abs=1e-6) for r in lab)
     empty = df.where("false")
     assert G.edge_betweenness(empty).count() == 0 and G.connected_components(empty).count() == 0 and G.girvan_newman(empty).count() == 0 and G.label_propagation(empty).count() == 0
 
@@ -169,3 +188,73 @@ def test_bfr_keeps_every_point_once(spark):
 def test_mahalanobis_without_variance():
     d = C.mahalanobis(np.array([[1.0, 2.0], [1.0, 3.0]]), np.array([[1.0, 2.0]]), np.array([[0.0, 0.0]]))
     assert d[0, 0] == 0 and np.isinf(d[1, 0])
+
+
+def test_boosted_trees_learn_and_spread(spark):
+    import numpy as np
+
+    from minegrid.operators import boosting as B
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 4))
+    y = 2 * (x[:, 0] > 0.3) + x[:, 1] + 0.05 * rng.normal(size=3000)
+    m = B.fit_matrix(x, y, rounds=60, depth=4, step=0.2, columns=0.6)
+    held = rng.normal(size=(1000, 4))
+    truth = 2 * (held[:, 0] > 0.3) + held[:, 1]
+    assert np.sqrt(np.mean((m.predict(held) - truth) ** 2)) < 0.25 * truth.std()
+    df = spark.createDataFrame([(f"u{k}", f"i{k}", float(y[k]), *map(float, x[k])) for k in range(400)] + [("n", None, None, None, 0.0, 0.0, 0.0)], "user string, item string, stars double, a double, b double, c double, prediction double")
+    model = B.fit(df, ["a", "b", "c"], rounds=5, depth=3)
+    got = {r.user: r.prediction for r in B.predict(model, df, ["a", "b", "c"]).collect()}
+    direct = model.predict(np.nan_to_num(np.array([[*map(float, x[7, :3])]])))[0]
+    assert len(got) == 401 and got["u7"] == pytest.approx(direct) and got["n"] is not None
+    empty = B.fit(df.where("false"), ["a"], rounds=2, depth=2)
+    assert [r.prediction for r in B.predict(empty, df.limit(1), ["a"]).collect()] == [0.0]
+
+
+def test_exact_similar_equals_brute_force(spark):
+    rng = random.Random(9)
+    sets = {f"r{k}": {rng.randint(0, 12) for _ in range(rng.randint(1, 6))} for k in range(40)}
+    rows = spark.createDataFrame([(r, f"m{m}") for r, s in sets.items() for m in s], "record string, member string")
+    sizes = rows.groupBy("record").agg(F.count("*").alias("size"))
+    got = {(r.a, r.b) for r in S.exact_similar(rows, sizes).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+
+
+def test_what_a_scope_wrote_is_removed(spark, tmp_path):
+    import os
+
+    from minegrid import util
+
+    keep = util.written(spark.range(3), "kept")
+    with util.scope():
+        inner = util.written(spark.range(5), "inner")
+        assert inner.count() == 5
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and keep.count() == 3
+
+
+def test_points_assigned_in_order_equal_a_plain_loop(spark):
+    import numpy as np
+
+    from minegrid.operators import clustering as C
+
+    rng = np.random.default_rng(5)
+    start = {k: rng.normal(5.0 * k, 1.0, size=(30, 2)) for k in range(2)}
+    pts = np.concatenate([rng.normal(0, 1, size=(20, 2)), rng.normal(5, 1, size=(20, 2)), [[40.0, 40.0]]])
+    own = {k: [x.copy() for x in v] for k, v in start.items()}
+    want = []
+    for p in pts:
+        d = {k: np.sqrt((((p - np.mean(v, 0)) ** 2) / np.var(v, 0)).sum()) for k, v in own.items()}
+        k = min(d, key=d.get)
+        want.append(k if d[k] <= 2 * np.sqrt(2) else -1)
+        if want[-1] >= 0:
+            own[k].append(p)
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(pts)], "index bigint, features array<double>")
+    ds = {k: C.Summary(len(v), v.sum(0), (v**2).sum(0)) for k, v in start.items()}
+    got = {r["index"]: r.d for r in C.assigned_in_order(df, ds, {}).collect()}
+    assert [got[k] for k in range(len(pts))] == want
+    with pytest.raises(ValueError):
+        C.assigned_in_order(df, ds, {}, limit=3)
+    e = spark.createDataFrame([(k, [float(x) for x in p]) for k, p in enumerate(np.concatenate(list(start.values()) * 3))], "vec_id bigint, embedding array<double>")
+    assert C.bfr(e, "vec_id", "embedding", 2, in_order=True).labels().count() == 180

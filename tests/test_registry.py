@@ -4,11 +4,11 @@ import sys
 
 import pytest
 
-from minegrid.plans import core_queries, registry
+from minegrid.plans import core_queries, registry, report_queries
 from tests.compare import differs
 
-ALL = {**registry.QUERIES, **core_queries.QUERIES}
-SQL = {**registry.ORACLES, **core_queries.ORACLES}
+ALL = {**registry.QUERIES, **core_queries.QUERIES, **report_queries.QUERIES}
+SQL = {**registry.ORACLES, **core_queries.ORACLES, **report_queries.ORACLES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -16,10 +16,35 @@ def test_query_equals_sql(spark, sf, name):
     assert differs(spark, sf, ALL[name], SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", ["partition_report", "frequent_by_growth", "edge_betweenness", "hybrid_blend", "blend_search", "bfr_labels"])
-def test_query_without_sql_runs(spark, sf, name):
-    df = ALL[name](spark, sf)
-    assert df.columns and df.count() >= 0
+def test_partition_report_counts_every_row(spark, sf):
+    n = spark.read.parquet(f"{sf}/yelp_train.parquet").count()
+    got = {r.layout: r.n for r in ALL["partition_report"](spark, sf).groupBy("layout").sum("n").toDF("layout", "n").collect()}
+    assert got == {"default": n, "custom": n}
+
+
+def test_models_beat_the_mean(spark, sf):
+    got = {r.model: (r.rmse, r.n) for r in ALL["model_errors"](spark, sf).collect()}
+    assert set(got) == {"mean", "items", "trees", "blend"} and len({n for _, n in got.values()}) == 1
+    assert got["trees"][0] < got["mean"][0] and got["blend"][0] < got["mean"][0]
+
+
+def test_blend_search_is_sorted_and_whole(spark, sf):
+    got = ALL["blend_search"](spark, sf).collect()
+    assert len(got) == 20 and [r.rmse for r in got] == sorted(r.rmse for r in got)
+
+
+def test_split_graph_covers_its_nodes(spark, sf):
+    gn = ALL["girvan_newman"](spark, sf).collect()
+    nodes = {x for r in ALL["cooccurrence_graph"](spark, sf).collect() for x in (r.u, r.v)}
+    assert {r.id for r in gn} == nodes and all(r.label <= r.id and -0.5 <= r.modularity <= 1 for r in gn)
+
+
+def test_clustering_labels_every_point(spark, sf):
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    labels = ALL["bfr_labels"](spark, sf)
+    assert labels.count() == n == labels.select("index").distinct().count()
+    for r in ALL["bfr_round_stats"](spark, sf).orderBy("round").collect()[-1:]:
+        assert r.ds_points + r.cs_points + r.rs_points == n
 
 
 def test_entry_without_the_subpackage(tmp_path):
