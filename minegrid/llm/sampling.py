@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,25 +27,28 @@ def with_draw(df: DataFrame, identity: Sequence[str], seed: str) -> DataFrame:
 
 def _heaps(k: int):
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heap: list[tuple] = []  # largest key on top, negated through an inverted digest
+        heap: list[tuple] = []  # largest key on top, negated
         n = 0
         for b in batches:
-            keys = b.column(b.schema.get_field_index(KEY)).to_pylist()
+            keys = np.asarray(b.column(b.schema.get_field_index(KEY)).to_pylist(), dtype="S32")
+            # hex digests compare as their numbers do: what isn't below the heap's largest is out before any row is touched
+            at = np.flatnonzero(keys < b"%032x" % -heap[0][0]) if len(heap) == k else np.arange(len(keys))
             keep = []
-            for i, key in enumerate(keys):
-                n += 1
-                inv = -int(key, 16)
+            for i in at.tolist():
+                inv = -int(keys[i], 16)
                 if len(heap) < k:
-                    heapq.heappush(heap, (inv, n, None))
-                    keep.append((i, n))
+                    heapq.heappush(heap, (inv, n + i, None))
                 elif inv > heap[0][0]:
-                    heapq.heapreplace(heap, (inv, n, None))
-                    keep.append((i, n))
+                    heapq.heapreplace(heap, (inv, n + i, None))
+                else:
+                    continue
+                keep.append(i)
             if keep:
                 alive = {m for _, m, _ in heap}
-                rows = {m: b.slice(i, 1) for i, m in keep if m in alive}
+                rows = {n + i: b.take(pa.array([i])) for i in keep if n + i in alive}  # a copy, so the batch can go
                 heap = [(inv, m, rows.get(m, r)) for inv, m, r in heap]
                 heapq.heapify(heap)
+            n += b.num_rows
         if heap:
             yield from pa.Table.from_batches([r for _, _, r in heap]).combine_chunks().to_batches()
 
