@@ -95,8 +95,9 @@ def pack_shard(size: np.ndarray, length: np.ndarray, terms: list[np.ndarray], tf
             at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)]) if len(top) else np.empty(0, np.int64)
             score = np.bincount(post[at], post_w[at], minlength=n)
             score[~unused] = 0
-            for k in np.argsort(-score, kind="stable"):
-                if score[k] <= 0 or room <= close:
+            found = np.flatnonzero((score > 0) & (size <= room))
+            for k in found[np.argsort(-score[found], kind="stable")]:
+                if room <= close:
                     break
                 if size[k] <= room:
                     where[k], unused[k] = number, False
@@ -122,10 +123,17 @@ def rarity_ranks(df: np.ndarray) -> np.ndarray:
 def lexical_keys(terms: list[np.ndarray], ranks: np.ndarray) -> np.ndarray:
     """Per text two numbers that order it by its six rarest shared terms, rarest first (21 bits a term); texts with fewer end in ones."""
     out = np.full((len(terms), 6), (1 << 21) - 1, np.int64)
-    for k, t in enumerate(terms):
-        r = ranks[np.asarray(t, np.int64)]
-        r = np.sort(r[r >= 0])[:6]
-        out[k, : len(r)] = r
+    n = np.array([len(t) for t in terms], np.int64)
+    if n.sum():
+        doc = np.repeat(np.arange(len(terms)), n)
+        rank = ranks[np.concatenate([np.asarray(t, np.int64) for t in terms])]
+        doc, rank = doc[rank >= 0], rank[rank >= 0]
+        order = np.lexsort((rank, doc))
+        doc, rank = doc[order], rank[order]
+        first = np.searchsorted(doc, np.arange(len(terms)))
+        place = np.arange(len(doc)) - first[doc]
+        keep = place < 6
+        out[doc[keep], place[keep]] = rank[keep]
     return np.stack([(out[:, 0] << 42) | (out[:, 1] << 21) | out[:, 2], (out[:, 3] << 42) | (out[:, 4] << 21) | out[:, 5]])
 
 
@@ -143,8 +151,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     got = rows.select(F.explode("terms").alias("t")).groupBy("t").count().toPandas()  # at most one row per vocabulary entry
     df = np.zeros(int(got["t"].max()) + 1 if len(got) else 1)
     df[got["t"].to_numpy()] = got["count"].to_numpy(float)
-    shared = spark.sparkContext.broadcast(df)
     ranks = spark.sparkContext.broadcast(rarity_ranks(df))
+    weights = spark.sparkContext.broadcast(np.log1p((total - df + 0.5) / (df + 0.5)))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +166,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
         full, rest = n // capacity, n % capacity
         whole = (full > 0) & (rest == 0)
         items = np.flatnonzero(rest > 0)
-        idf = np.log1p((total - shared.value + 0.5) / (shared.value + 0.5))
+        idf = weights.value
         where = pack_shard(rest[items], n[items].astype(float), [np.asarray(x, np.int64) for x in pdf["terms"].iloc[items]], [np.asarray(x, np.int64) for x in pdf["tfs"].iloc[items]], idf, mean, capacity, close)
         used = int(where.max()) + 1 if len(where) else 0
         idx, part, box, size = [items], [full[items]], [where], [rest[items]]
