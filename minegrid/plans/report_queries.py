@@ -137,14 +137,14 @@ def transactions_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_transactions(spark, to).groupBy("basket", "product").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT vec_id AS index, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 3) AS total FROM embeddings")
+@_query("SELECT vec_id AS index, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 3) + 0.0 AS total FROM embeddings")
 def vectors_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Headerless numeric lines: index, label, coordinates."""
     to = new_dir(spark, "vectors")
     line = F.concat_ws(",", F.col("vec_id").cast("string"), F.col("label").cast("string"), F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), ","))
     table(spark, d, "embeddings").select(line.alias("value")).write.text(to)
     v = readers.read_vectors(spark, to)
-    return v.select("index", F.size("features").cast("bigint").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    return v.select("index", F.size("features").cast("bigint").alias("n"), (F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 3) + F.lit(0.0)).alias("total"))
 
 
 @_query("SELECT table_name, count(*) AS n, count(name) AS with_name, count(user_id) AS with_user FROM (SELECT 'business' AS table_name, name, NULL AS user_id FROM business UNION ALL SELECT 'review', NULL, user_id FROM yelp_train) GROUP BY 1")
