@@ -142,3 +142,21 @@ def test_page_scores_show_pmi_and_repetition(spark):
     docs = [(1, "cheap shoes " * 20, None), (2, None, None), (3, "", None), (4, "one two", None)]
     got = {r.doc_id: r for r in X.page_scores(spark.createDataFrame(docs, "doc_id bigint, text string, score string")).collect()}
     assert set(got) == {1, 4} and got[1].repeated > 0.9 and got[1].n_words == 40 and got[4].score == 0
+
+
+def test_scores_do_not_depend_on_which_words_and_pairs_are_heads(spark, monkeypatch):
+    rng = random.Random(8)
+    honest = [f"we came to the {rng.choice(['inn', 'bar', 'pier'])} and my {rng.choice(['brother', 'aunt'])} said the odd{k} soup was warm, so we stayed for hours" for k in range(60)]
+    keys = ["cheap pizza", "car wash", "nail salon", "dentist near me"]
+    stuffed = [" ".join(f"{rng.choice(keys)} town{k} code{chr(97 + k)}{chr(97 + j % 9)}" for j in range(30)) for k in range(12)]
+    docs = spark.createDataFrame([*enumerate([*honest, *stuffed, "lone", "", None, stuffed[0]])], "doc_id bigint, text string").repartition(3)
+
+    def run():
+        return sorted((r.doc_id, r.n_words, round(r.mean_pmi, 9), round(r.repeated, 9), round(r.share, 6), round(r.score, 6)) for r in X.page_scores(docs).collect())
+
+    whole = run()
+    assert len(whole) == 74 and {i for i, *_, s in whole if s > 0.5} == {*range(60, 72), 75}
+    for heads, pairs in [(20, 1 << 21), (1 << 20, 20), (1, 1)]:
+        monkeypatch.setattr(X, "HEADS", heads)
+        monkeypatch.setattr(X, "HEAD_PAIRS", pairs)
+        assert run() == whole
