@@ -11,8 +11,10 @@ a quote at the start of a slot may open such a span or be a mark like others. Th
   rule (punctuation other than - and _, and white space, separate; quotes enclose) with weight ``strength``.
 
 Strings are folded into signatures (heads, forms and delimiters) with their counts, so an EM pass touches each distinct
-signature once. Viterbi then picks the most likely reading of each string. An exact check compares it with
-the rule's own reading and counts and mends what differs; without the check the model's choice stands.
+signature once. Viterbi then picks the most likely reading of each string. An exact check goes through its values: those
+that keep the rule stay as they are, one that breaks it is read again by the rule, and strings so mended are counted. The rule
+is silent where text follows a closing quote at once (``'Ann, Bob, O'Neil``: no quotes around a whole slot): there
+Viterbi's choice stands, a value with its quotes inside or a quote that is a mark. Without the check it stands everywhere.
 """
 
 from __future__ import annotations
@@ -132,20 +134,45 @@ def _first(toks: Sequence[str], kind, i: int) -> tuple[int, bool, bool]:
 Cut = tuple[int, int, bool]
 
 
-def by_rule(toks: Sequence[str], kind=_kind) -> list[Cut]:
-    """The rule's reading as (first token, end, quoted) per slot."""
+def _open(toks: Sequence[str], kind, i: int) -> bool:
+    """Whether the rule is silent on the slot start ``i``: its quote is closed, but text follows at once."""
+    _, quoted, choice = _first(toks, kind, i)
+    return choice and not quoted
+
+
+def checked(toks: Sequence[str], kind, reading: Sequence[Cut]) -> list[Cut]:
+    """The reading with values that break the rule read again by it; where the rule is silent the reading stands."""
+    said = {cut[0]: cut for cut in reading}
     out, i, n = [], 0, len(toks)
     while True:
         end, quoted, _ = _first(toks, kind, i)
+        if said.get(i) == (i, i, False) and _open(toks, kind, i):  # the quote is a mark after an empty slot
+            end = i
         out.append((i, end, quoted))
         if end >= n:
             return out
-        i = _after(toks, kind, end)[0][0]
+        ways = _after(toks, kind, end)
+        i = ways[0][0]
+        if len(ways) > 1 and _open(toks, kind, i):  # a quote after white space: a mark takes the white space with it
+            as_mark = said.get(i) == (i, i, False) or (i not in said and ways[1][0] in said)
+            i = ways[1][0] if as_mark else i
+
+
+def by_rule(toks: Sequence[str], kind=_kind) -> list[Cut]:
+    """The rule's reading as (first token, end, quoted) per slot; where the rule is silent a span stays whole."""
+    return checked(toks, kind, ())
 
 
 Model = dict[str, float]
 
 
+def _inside(sig: Sequence[str], i: int, end: int) -> list[str]:
+    """The delimiters that don't separate if ``i`` to ``end``, a quote, its partner and text behind, is one value."""
+    kinds = [_sig_kind(x) for x in sig[i:end]]
+    marks = [f"i{x}" for x, k in zip(sig[i:end], kinds) if k == "m"]
+    return marks + ["i_" for j, k in enumerate(kinds) if k == "s" and "m" not in (kinds[j - 1], kinds[j + 1])]
+
+
 def _edges(sig: Sequence[str], model: Model) -> list[tuple[int, int, Cut, tuple[str, ...], float]]:
     """(node, next node, value, parameters used, log score) of every value and separator of the lattice, by node.
 
@@ -174,7 +201,7 @@ def _edges(sig: Sequence[str], model: Model) -> list[tuple[int, int, Cut, tuple[
         i = todo.pop()
         end, quoted, choice = _first(sig, kind, i)
         if choice:
-            add(i, end, quoted, ["vQ", f"o{sig[i]}span"])
+            add(i, end, quoted, ["vQ" if quoted else "vG", f"o{sig[i]}span", *([] if quoted else _inside(sig, i, end))])
             add(i, i, False, ["vE", f"i{sig[i]}span"])
             continue
         if end == i:
@@ -340,8 +367,8 @@ class _Reader:
         if got is None:
             cuts, mended = best_reading(sig, self.model), False
             if self.exact:
-                rule = by_rule(sig.split("\x1f"), _sig_kind)
-                cuts, mended = rule, cuts != rule
+                kept = checked(sig.split("\x1f"), _sig_kind, cuts)
+                cuts, mended = kept, cuts != kept
             if len(self.known) >= self.remember:
                 self.known.clear()
             got = self.known[sig] = (cuts, mended)
@@ -354,7 +381,9 @@ def explode_packed(df: DataFrame, row_id: str, fields: Sequence[str], rounds: in
     Null and blank strings and empty brackets give no rows, nor do empty slots and unquoted slots that say only
     none, null or -. Quoted items keep delimiters and white space inside; a doubled quote is one; an empty quoted
     slot is an empty item. A quote that isn't closed, or stands inside a value, is a delimiter like other marks.
-    Repeated rows repeat their items. An empty table gives none. With ``exact`` a reading that breaks the rule is
+    A quote at the start of a slot whose partner is followed by text is either, whichever the learnt model finds likelier:
+    part of one value that reaches to the end of that text, or a mark.
+    Repeated rows repeat their items. An empty table gives none. With ``exact`` values that break the rule are
     mended; without it the learnt model may keep frequent values of several words together (lower ``strength`` for
     that: 0 leaves all to the column's frequencies).
     """

@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from minegrid.operators.packed import _sig_kind, _value, best_reading, by_rule, explode_packed, learn, reading_report, signature, tokens, unwrapped
+from minegrid.operators.packed import _kind, _open, _sig_kind, _value, best_reading, by_rule, checked, explode_packed, learn, reading_report, signature, tokens, unwrapped
 from minegrid.util import WHITE
 
 
@@ -99,3 +99,24 @@ def test_the_rule_as_prior_outweighs_frequencies(spark):
 def test_value_of_a_quoted_span():
     t = tokens('"a ""b"""')
     assert _value(t, by_rule(t)[0]) == 'a "b"'
+
+
+def test_the_model_decides_where_the_rule_is_silent(spark):
+    odd = [(900, "'Ann, Bob, O'Neil", None, None), (901, "'Ann, Bob, ONeil'", None, None)]
+    known = [(k, "Ann, Bob, Cid", None, None) for k in range(40)] + [(100 + k, "O'Neil, Ann", None, None) for k in range(20)] + [(200 + k, ", Bob", None, None) for k in range(10)]
+    unknown = [(k, f"p{k} q", None, None) for k in range(60)]
+    read = lambda rows: [(i, p, v) for i, _, p, v in items(spark, rows + odd) if i >= 900]
+    whole = (901, 1, "Ann, Bob, ONeil")
+    assert read(known) == [(900, 2, "Ann"), (900, 3, "Bob"), (900, 4, "O"), (900, 5, "Neil"), whole]
+    assert read(unknown) == [(900, 1, "'Ann, Bob, O'Neil"), whole]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab,; '\"\t", max_size=16), st.lists(st.tuples(st.integers(0, 16), st.integers(0, 16), st.booleans()), max_size=8))
+def test_any_reading_is_mended_where_the_rule_speaks(text, reading):
+    t = tokens(unwrapped(text))
+    if t:
+        got = checked(t, _kind, reading)
+        if not any(_open(t, _kind, i) for i in range(len(t))):
+            assert got == by_rule(t)
+        assert checked(t, _kind, got) == got  # what is right is left as it is
