@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import attribute_score, clamp, list_length, number_at, total, years_until
-from ..util import clean_key, written
+from ..util import clean_key, scope, written
 
 
 def ratings(df: DataFrame, user: str, item: str, stars: str, order: str) -> DataFrame:
@@ -45,14 +47,83 @@ def item_similarity(train: DataFrame, pairs: DataFrame | None = None, places: in
     return s.select("i", "j", (F.round(F.when(F.col("den") > 1e-12, F.col("num") / F.col("den")).otherwise(0.0), places) + F.lit(0.0)).alias("sim"), "raters")
 
 
+#: Entries of raters' lists that one task takes at once.
+ENTRIES = 250_000
+
+
+def _coded(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written with numbers for names: items (item, item_mean, item_n, code; codes sort as the items do), the distinct test pairs (q, user, item, …) and the ratings (user, code, n, stars, d: off the item's mean)."""
+    items = written(means(train, "item").orderBy("item").withColumn("code", F.monotonically_increasing_id()), "item-codes")
+    t = written(test.select("user", "item").distinct().join(items, "item", "left").withColumn("q", F.monotonically_increasing_id()), "targets")
+    dev = train.join(items, "item").select("user", "code", F.col("item_n").alias("n"), "stars", (F.col("stars") - F.col("item_mean")).alias("d"))
+    return items, t, written(dev, "deviations")
+
+
+def _sums(lists: pa.Table, rated: pa.Table) -> pa.Table:
+    """The rows of ``rated`` whose pair (a, b) has a common rater, with the sums over these; ``lists`` has for a rating of a what its rater gave to more popular items."""
+    names = ["q", "code", "stars", "num", "xx", "yy", "raters"]
+    ra, rb = rated["a"].to_numpy(), rated["b"].to_numpy()
+    lists = lists.filter(pa.array(np.isin(lists["a"].to_numpy(), ra)))
+    if not lists.num_rows:
+        return pa.table([rated[c].slice(0, 0) for c in names[:3]] + [pa.array([], pa.float64())] * 3 + [pa.array([], pa.int64())], names)
+    ua, pa_at = np.unique(ra, return_inverse=True)
+    ub, pb_at = np.unique(rb, return_inverse=True)
+    pairs, at = np.unique(pa_at * len(ub) + pb_at, return_inverse=True)
+    held = lists["bs"].combine_chunks()
+    k = held.value_lengths().to_numpy()
+    b, y = held.flatten().to_numpy(), lists["ys"].combine_chunks().flatten().to_numpy()
+    ib = np.minimum(np.searchsorted(ub, b), len(ub) - 1)
+    key = np.repeat(np.searchsorted(ua, lists["a"].to_numpy()), k) * len(ub) + ib
+    place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+    use = np.flatnonzero((ub[ib] == b) & (pairs[place] == key))
+    x, y, place = np.repeat(lists["x"].to_numpy(), k)[use], y[use], place[use]
+    n = np.bincount(place, minlength=len(pairs))
+    num, xx, yy = (np.bincount(place, w, len(pairs)) for w in (x * y, x * x, y * y))
+    met = np.flatnonzero(n[at] > 0)
+    at = at[met]
+    return pa.table([rated[c].take(pa.array(met)) for c in names[:3]] + [pa.array(z[at]) for z in (num, xx, yy, n)], names)
+
+
+def _near(t: DataFrame, dev: DataFrame, top: int, list_cost: float = 0.25) -> DataFrame:
+    """(q, code, stars, sim, rank), written: of the user's rated items that share a rater with the target, the ``top`` most similar; ties by item.
+
+    Every rating of an item goes, with what its rater gave to more popular items, to the task that has the wanted pairs with
+    that item as the rarer one, and is summed up there. Only where users with very many ratings make these lists longer than
+    a look-up of the raters of every wanted pair (counted first; an entry costs ``list_cost`` of a look-up) the raters are looked up.
+    """
+    mine, n = t.where("code is not null").select("user", "q", F.col("code").alias("c"), F.col("item_n").alias("m")), F.col("n")
+    rated = mine.join(dev.select("user", "code", "n", "stars"), "user").where("c != code")
+    rarer = (F.col("m") < n) | ((F.col("m") == n) & (F.col("c") > F.col("code")))
+    rated = rated.select("q", "code", "stars", F.when(rarer, F.col("c")).otherwise(F.col("code")).alias("a"), F.when(rarer, F.col("code")).otherwise(F.col("c")).alias("b"), F.least("m", "n").alias("few"))
+    rated = written(rated, "rated")
+    looks = rated.agg(F.sum("few")).first()[0] or 0
+    k = F.col("k").cast("double")
+    entries = dev.groupBy("user").agg(F.count("*").alias("k")).agg(F.sum(k * (k - 1) / 2)).first()[0] or 0
+    if entries * list_cost <= looks:
+        parts = max(1, int(entries / ENTRIES))
+        part = F.pmod(F.xxhash64("a"), F.lit(parts)).alias("part")
+        given = dev.groupBy("user").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "code", "d"))).alias("x")).where(F.size("x") > 1)
+        given = given.select(F.col("x.code").alias("i"), F.col("x.d").alias("y"), F.explode(F.sequence(F.lit(1), F.size("x") - 1)).alias("at"))
+        lists = given.select(F.col("i")[F.col("at")].alias("a"), F.col("y")[F.col("at")].alias("x"), F.slice("i", F.lit(1), F.col("at")).alias("bs"), F.slice("y", F.lit(1), F.col("at")).alias("ys"))
+        both = lists.select(part, "*").groupBy("part").cogroup(rated.select(part, "q", "code", "stars", "a", "b").groupBy("part"))
+        s = both.applyInArrow(_sums, "q bigint, code bigint, stars double, num double, xx double, yy double, raters bigint")
+        den = F.sqrt("xx") * F.sqrt("yy")
+        s = s.select("q", "code", "stars", (F.round(F.when(den > 1e-12, F.col("num") / den).otherwise(0.0), 9) + F.lit(0.0)).alias("sim"))
+    else:
+        r = rated.select("q", "code", "stars", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+        sim = item_similarity(dev.select("user", F.col("code").alias("item"), "stars"), r.select("i", "j").distinct())
+        s = r.join(sim.select("i", "j", "sim"), ["i", "j"]).select("q", "code", "stars", "sim")
+    w = Window.partitionBy("q").orderBy(F.desc("sim"), "code")
+    return written(s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top), "near")
+
+
 def neighbours(train: DataFrame, test: DataFrame, top: int = 20) -> DataFrame:
     """(user, item, other, stars, sim, rank): of the user's rated items that share a rater with the target, the ``top`` most similar; ties by item."""
-    t = test.select("user", "item").distinct()
-    rated = t.join(train.select("user", F.col("item").alias("other"), "stars"), "user").where("item != other")
-    rated = written(rated, "rated").select("user", "item", "other", "stars", F.least("item", "other").alias("i"), F.greatest("item", "other").alias("j"))
-    sim = item_similarity(train, rated.select("i", "j").distinct())
-    w = Window.partitionBy("user", "item").orderBy(F.desc("sim"), "other")
-    return rated.join(sim.select("i", "j", "sim"), ["i", "j"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("user", "item", "other", "stars", "sim", "rank")
+    items, t, dev = _coded(train, test)
+    with scope(keep=1):
+        near = _near(t, dev, top)
+    named = near.join(t.select("q", "user", "item"), "q").join(items.select("code", F.col("item").alias("other")), "code")
+    return named.select("user", "item", "other", "stars", "sim", "rank")
 
 
 def item_cf(train: DataFrame, test: DataFrame, top: int = 20, places: int = 6) -> DataFrame:
@@ -62,11 +133,12 @@ def item_cf(train: DataFrame, test: DataFrame, top: int = 20, places: int = 6) -
     item: that rating; no weight among the neighbours: the mean of both means; else
     0.1 weighted neighbours + 0.5 item mean + 0.4 user mean, kept in [0, 5].
     """
-    train = written(train, "train")
-    t = test.select("user", "item").distinct()
-    nb = neighbours(train, t, top).groupBy("user", "item").agg(F.sum(F.col("stars") * F.col("sim")).alias("num"), F.sum(F.abs("sim")).alias("den"))
-    own = train.select("user", "item", F.col("stars").alias("own"))
-    x = t.join(means(train, "user"), "user", "left").join(means(train, "item"), "item", "left").join(nb, ["user", "item"], "left").join(own, ["user", "item"], "left")
+    _, t, dev = _coded(train, test)
+    with scope(keep=1):
+        near = _near(t, dev, top)
+    nb = near.groupBy("q").agg(F.sum(F.col("stars") * F.col("sim")).alias("num"), F.sum(F.abs("sim")).alias("den"))
+    own = dev.select("user", "code", F.col("stars").alias("own"))
+    x = t.join(means(dev, "user"), "user", "left").join(nb, "q", "left").join(own, ["user", "code"], "left")
     x = x.join(F.broadcast(train.agg(F.avg("stars").alias("all_mean"))))  # one row
     um, im = F.col("user_mean"), F.col("item_mean")
     p = (
