@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..util import clean_key, written
+from ..util import clean_key, scope, written
 
 
 def baskets(df: DataFrame, basket: str, item: str, more_than: int = 0) -> DataFrame:
@@ -64,33 +64,67 @@ def frequent_by_growth(rows: DataFrame, support: int) -> DataFrame:
 
 
 def local_candidates(rows: DataFrame, support: int, chunk: Column, max_size: int | None = 2) -> DataFrame:
-    """First pass: sets of up to ``max_size`` items (None: of any size) frequent in some chunk at its scaled threshold ceil(support n_chunk / n)."""
+    """First pass: sets of up to ``max_size`` items (None: of any size) frequent in some chunk at its scaled threshold ceil(support n_chunk / n).
+
+    Items, baskets and sets go as numbers; a set is known by the number of its first items and its last item.
+    """
     marked = rows.withColumn("chunk", chunk)
     sizes = marked.select("chunk", "basket").distinct().groupBy("chunk").agg(F.count("*").alias("m"))
     n = sizes.agg(F.sum("m").alias("total"))
     need = written(sizes.join(F.broadcast(n)).select("chunk", F.expr(f"(m * {support} + total - 1) div total").alias("need")), "need")
-    cur = marked.select("chunk", "basket", F.array("item").alias("items"), F.col("item").alias("last"))
-    out, k, single, pairs = None, 1, None, None
+    names = written(rows.select("item").distinct().orderBy("item").withColumn("more", F.monotonically_increasing_id()), "item-numbers")  # sort as the items do
+    numbers = marked.select("chunk", "basket").distinct().withColumn("b", F.monotonically_increasing_id())
+    bought = written(marked.join(numbers, ["chunk", "basket"]).join(names, "item").select("chunk", "b", "more"), "bought")
+    ext, out, k, single, sets, pairs = bought.select("chunk", "b", F.lit(-1).cast("bigint").alias("up"), "more"), None, 1, None, None, None
     while True:
-        level = written(cur.groupBy("chunk", "items").agg(F.count("*").alias("c")).join(need, "chunk").where("c >= need").select("chunk", "items"), f"local{k}")
-        found = level.select("items")
-        out = found if out is None else out.unionByName(found)
+        level = ext.groupBy("chunk", "up", "more").agg(F.count("*").alias("c")).join(need, "chunk").where("c >= need")
+        level = written(level.select("chunk", "up", "more").withColumn("id", F.monotonically_increasing_id()), f"local{k}")
+        begun = level.join(names, "more")
+        begun = begun.select("id", F.array("item").alias("items")) if sets is None else begun.join(sets.withColumnRenamed("id", "up"), "up").select("id", F.concat("items", F.array("item")).alias("items"))
+        sets = written(begun, f"sets{k}")
+        out = sets.select("items") if out is None else out.unionByName(sets.select("items"))
         if k == max_size or level.isEmpty():
             return out.distinct()
-        alive = written(cur.join(level, ["chunk", "items"], "left_semi"), f"alive{k}")
+        alive = written(ext.join(level, ["chunk", "up", "more"]).select("chunk", "b", F.col("id").alias("up"), F.col("more").alias("last")), f"alive{k}")
         if k == 1:
-            single = alive.select("basket", F.col("last").alias("more"))
+            single, first = alive.select("b", F.col("last").alias("more")), level.select(F.col("id").alias("up"), F.col("more").alias("last"))
         if k == 2:
-            pairs = level.select("chunk", F.col("items")[0].alias("last"), F.col("items")[1].alias("more"))
-        ext = alive.join(single, "basket").where(F.col("more") > F.col("last"))
+            pairs = level.join(first, "up").select("chunk", "last", "more")
+        ext = alive.join(single, "b").where(F.col("more") > F.col("last"))
         if pairs is not None:  # an extension can be frequent only where its last two items are
             ext = ext.join(pairs, ["chunk", "last", "more"], "left_semi")
-        cur = ext.select("chunk", "basket", F.concat("items", F.array("more")).alias("items"), F.col("more").alias("last"))
+        ext = ext.select("chunk", "b", "up", "more")
         k += 1
 
 
 def count_candidates(rows: DataFrame, candidates: DataFrame, support: int) -> DataFrame:
-    """Second pass: exact counts of the candidates over all baskets, those with at least ``support`` kept: (items, n)."""
-    c = candidates.select("items", F.size("items").alias("k"), F.explode("items").alias("item"))
-    hit = rows.join(c, "item").groupBy("basket", "items", "k").agg(F.count("*").alias("h")).where("h = k")
-    return hit.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    """Second pass: exact counts of the candidates over all baskets, those with at least ``support`` kept: (items, n).
+
+    Level by level: an occurrence of a candidate's first items, frequent themselves, grows by its next one within the basket. Items and baskets go as numbers, a set as the number of its first items and its last.
+    """
+    c = written(candidates.select(F.sort_array("items").alias("items")).where(F.size("items") > 0).distinct(), "candidates")
+    longest = c.agg(F.max(F.size("items"))).first()[0] or 0
+    if not longest:
+        return c.select("items", F.lit(0).cast("bigint").alias("n")).limit(0)
+    starts = c.select(F.explode(F.sequence(F.lit(1), F.size("items"))).alias("k"), "items").select("k", F.slice("items", F.lit(1), F.col("k")).alias("items"))
+    starts = starts.unionByName(c.select(F.lit(1).alias("k"), F.explode("items").alias("i")).select("k", F.array("i").alias("items"))).distinct()
+    starts = written(starts.orderBy("k", "items").withColumn("id", F.monotonically_increasing_id()), "starts")  # numbers of items sort as the items do
+    above = starts.select(F.col("items").alias("first"), F.col("id").alias("up"))
+    tree = starts.where("k > 1").select("k", "id", F.slice("items", F.lit(1), F.col("k") - 1).alias("first"), F.element_at("items", -1).alias("item"))
+    single = starts.where("k = 1").select("id", F.col("items")[0].alias("item"))
+    tree = written(tree.join(above, "first").join(single.select("item", F.col("id").alias("more")), "item").select("k", "id", "up", "more"), "tree")
+    bought = rows.join(rows.select("basket").distinct().withColumn("b", F.monotonically_increasing_id()), "basket")
+    bought = written(bought.join(single, "item").select("b", "id"), "bought")
+    found, cur = None, bought.withColumn("last", F.col("id"))
+    with scope(keep=1):
+        for k in range(1, longest + 1):
+            n = written(cur.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= support), f"counts{k}")
+            found = n if found is None else found.unionByName(n)
+            if k < longest:
+                live = cur.join(n.select("id"), "id", "left_semi").select("b", F.col("id").alias("up"), "last")
+                if k == 1:
+                    bought = live.select("b", F.col("last").alias("more"))
+                ext = live.join(bought, "b").where("more > last").select("b", "up", "more")
+                cur = written(ext.join(tree.where(F.col("k") == k + 1).select("up", "more", "id"), ["up", "more"]).select("b", "id", F.col("more").alias("last")), f"found{k + 1}")
+        counts = written(found, "counts")
+    return counts.join(starts.select("id", "items"), "id").join(c, "items", "left_semi").select("items", "n")

@@ -279,7 +279,7 @@ def son_candidates(spark: SparkSession, d: str) -> DataFrame:
 def son_frequent(spark: SparkSession, d: str) -> DataFrame:
     """Frequent sets of every size, by the two passes over chunks."""
     rows, cand = _chunked(spark, d)
-    return _shown(I.count_candidates(rows, written(cand, "candidates"), SUPPORT))
+    return _shown(I.count_candidates(rows, cand, SUPPORT))
 
 
 # ---- similar sets -----------------------------------------------------------------------------------------------

@@ -26,3 +26,14 @@ def test_local_candidates_of_any_size_and_none(spark):
     chunk = F.pmod(F.col("basket").cast("bigint"), F.lit(2))
     assert {len(r["items"]) for r in I.local_candidates(rows, 8, chunk, None).collect()} == {1, 2, 3, 4}
     assert I.local_candidates(rows, 9, chunk, None).count() == 0 and I.local_candidates(rows.where("false"), 2, chunk, None).count() == 0
+
+
+def test_second_pass_lists_only_what_begins_a_candidate(spark, monkeypatch):
+    """Every basket that had one item of a candidate used to be listed with it: here 400 candidates of one common item."""
+    rows = spark.range(2000).selectExpr("cast(id as string) as basket", "explode(array('a', concat('x', id % 400))) as item")
+    cand = spark.range(400).selectExpr("array('a', concat('x', id)) as items").unionByName(spark.createDataFrame([(["a"],), (["b"],), (["a", "x0", "x1"],)], "items array<string>"))
+    sizes, write = [], I.written
+    monkeypatch.setattr(I, "written", lambda df, name, *p: (out := write(df, name, *p), sizes.append(out.count()))[0])
+    assert I.count_candidates(rows, cand, 5).count() == 401 and max(sizes) <= rows.count()
+    assert {tuple(r["items"]): r["n"] for r in I.count_candidates(rows, cand, 6).collect()} == {("a",): 2000}
+    assert I.count_candidates(rows, cand.where("false"), 1).count() == 0
