@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import attribute_score, clamp, list_length, number_at, total, years_until
-from ..util import clean_key, scope, written
+from ..util import clean_key, scope, tidy, written
 
 
 def ratings(df: DataFrame, user: str, item: str, stars: str, order: str) -> DataFrame:
@@ -56,7 +56,9 @@ def _coded(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     items = written(means(train, "item").orderBy("item").withColumn("code", F.monotonically_increasing_id()), "item-codes")
     t = written(test.select("user", "item").distinct().join(items, "item", "left").withColumn("q", F.monotonically_increasing_id()), "targets")
     dev = train.join(items, "item").select("user", "code", F.col("item_n").alias("n"), "stars", (F.col("stars") - F.col("item_mean")).alias("d"))
-    return items, t, written(dev, "deviations")
+    dev = written(dev, "deviations")
+    tidy(dev.sparkSession)
+    return items, t, dev
 
 
 def _sums(lists: pa.Table, rated: pa.Table) -> pa.Table:
@@ -96,6 +98,7 @@ def _near(t: DataFrame, dev: DataFrame, top: int, list_cost: float = 0.25) -> Da
     rarer = (F.col("m") < n) | ((F.col("m") == n) & (F.col("c") > F.col("code")))
     rated = rated.select("q", "code", "stars", F.when(rarer, F.col("c")).otherwise(F.col("code")).alias("a"), F.when(rarer, F.col("code")).otherwise(F.col("c")).alias("b"), F.least("m", "n").alias("few"))
     rated = written(rated, "rated")
+    tidy(rated.sparkSession)
     looks = rated.agg(F.sum("few")).first()[0] or 0
     k = F.col("k").cast("double")
     entries = dev.groupBy("user").agg(F.count("*").alias("k")).agg(F.sum(k * (k - 1) / 2)).first()[0] or 0
